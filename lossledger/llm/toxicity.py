@@ -7,7 +7,8 @@
    mutual information where the association is significant. Words in more than MAX_SHARE of the documents are no nodes
    unless they are toxic seeds.
 4. Two random walks with restart over that graph, from the toxic and from the clean seeds. A word's polarity is
-   (t - c) / (t + c) of its probabilities in them; words above MIN_POLARITY are the lexicon, with the polarity as weight.
+   (t - c) / (t + c), smoothed, of its probabilities in them; words above MIN_POLARITY are the lexicon, with the polarity as weight, except those
+   that labelled documents show to be clean in their majority.
 5. A document's score is the log likelihood ratio of its weighted lexicon hits under the toxic and the clean hit rate;
    rates and threshold are fitted on a bounded sample of labelled documents (FIT_ROWS).
 """
@@ -31,7 +32,7 @@ from ._tables import buckets, materialise, small
 MIN_SHARE = 3e-4
 MAX_SHARE = 0.05
 WINDOW = 3
-Z = 1.96
+Z = 2.58
 MIN_G2 = 10.83
 RESTART = 0.5
 STEPS = 6
@@ -261,14 +262,17 @@ def _times(edges: DataFrame, x: np.ndarray) -> np.ndarray:
 
 
 def polarity(edges: DataFrame, seeds: np.ndarray, restart: float = RESTART, steps: int = STEPS) -> np.ndarray:
-    """seeds: two rows of 0/1 over the nodes, toxic and clean; for each node (t - c) / (t + c) of the two walks' probabilities, 0 if unreached."""
+    """seeds: two rows of 0/1 over the nodes, toxic and clean; for each node (t - c) / (t + c + 1 / nodes) of the two walks' probabilities.
+
+    The last term is an even walk's probability: a node that the walks hardly reach has a polarity near 0.
+    """
     seeds = seeds.astype(float)
     start = seeds / np.maximum(seeds.sum(axis=1, keepdims=True), 1)
     degree = _times(edges, np.ones((1, seeds.shape[1])))[0]
     p = start
     for _ in range(steps):
         p = restart * start + (1 - restart) * _times(edges, p / np.maximum(degree, 1e-300))
-    return np.divide(p[0] - p[1], p[0] + p[1], out=np.zeros(p.shape[1]), where=p.sum(axis=0) > 0)
+    return (p[0] - p[1]) / (p[0] + p[1] + 1 / max(1, p.shape[1]))
 
 
 # 5. documents ------------------------------------------------------------------------------------------------------
@@ -287,7 +291,7 @@ class Lexicon:
 def _hits(lex: Lexicon, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     w = _text.words(texts)
     at = pd.Index(lex.hash).get_indexer(w.hash)
-    return np.diff(w.first), np.round(np.bincount(w.doc[at >= 0], lex.weight[at[at >= 0]], len(texts)), 6)
+    return np.diff(w.first), np.round(np.bincount(w.doc[at >= 0], lex.weight[at[at >= 0]], len(texts)).astype(float), 6)  # bincount of nothing gives integers
 
 
 def llr(lex: Lexicon, n: np.ndarray, hits: np.ndarray) -> np.ndarray:
@@ -347,14 +351,15 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     low, high = wilson(k, n)
     toxic = (low > 0.5) & (n > 0)
     clean = (high < 0.5) & (n > 0)
+    denied = (k < 0.5 * n)  # the labels speak against it, whatever its neighbours are
     node = toxic | (vocab["df"].to_numpy() <= max_share * n_docs)
-    vocab, toxic, clean = vocab[node].reset_index(drop=True), toxic[node], clean[node]
+    vocab, toxic, clean, denied = vocab[node].reset_index(drop=True), toxic[node], clean[node], denied[node]
     nothing = Lexicon([], np.zeros(0, np.uint64), np.zeros(0))
     if not toxic.any():
         return nothing
     nodes = Nodes(vocab["h"].to_numpy(), vocab["n"].to_numpy(float), int(total))
     value = polarity(word_graph(both, nodes, window, min_g2), np.stack([toxic, clean]))
-    pick = value >= min_polarity
+    pick = (value >= min_polarity) & ~denied
     lex = Lexicon(vocab["word"][pick].tolist(), nodes.hash[pick], np.round(value[pick], 6))
     sent = spark.sparkContext.broadcast(lex)
     share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003))
