@@ -95,7 +95,10 @@ def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte range."""
     p, q = powers(len(buf) + 1)
     h = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)], out=h[1:])
+    w = buf.astype(np.uint64)  # in place: of these arrays, of 8 bytes for each of the text, there are two at a time
+    w += np.uint64(1)
+    w *= p[: len(buf)]
+    np.cumsum(w, out=h[1:])
     return mix((h[end] - h[start]) * q[start])
 
 
