@@ -22,7 +22,7 @@ from ._tables import buckets, materialise
 
 SHINGLE = 2
 PERMS = 128
-TREES = 8
+TREES = 16
 DEPTH = PERMS // TREES
 LEAST = 2
 REGION = 512
