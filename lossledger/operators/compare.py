@@ -56,10 +56,10 @@ def compare(runs: DataFrame, baselines: DataFrame) -> DataFrame:
     f = lambda id_, level, message, evidence: f"struct('{id_}' as id, '{level}' as level, {message} as message, {evidence} as evidence, 'compare' as source)"
     when = lambda c, x: f"CASE WHEN {c} THEN {x} END"
     ratio = lambda a, b: f"{a} / nullif({b}, 0)"
-    found = [when(CONDITIONS["TP-BAD-BASELINE"], f("TP-BAD-BASELINE", "WARN", "'the baseline itself fails single-run checks, so the comparison may mean nothing'", "b_run_id"))]
+    found = [when(CONDITIONS["TP-BAD-BASELINE"], f("TP-BAD-BASELINE", "WARN", "'the baseline itself fails single-run checks, so the comparison may mean nothing'", "cast(b_run_id as string)"))]
     for side, name in (("r", "run"), ("b", "baseline")):
         found.append(when(f"{side}_verdict = 'NOT-CHECKED'", f("TP-CMP-UNCOMPARABLE", "FAIL", f"'Cannot compare: the {name} has no usable loss scale.'", f"concat('{name} ', {side}_run_id, ' is NOT-CHECKED (0 groups executed).')")))
-    found.append(when(SHORT, f("TP-NO-LOSS", "FAIL", f"concat(if(r_enough, 'Baseline', 'Run'), ' log has fewer than {T.COMPARE_MIN_POINTS} valid loss points.')", "if(r_enough, b_run_id, r_run_id)")))
+    found.append(when(SHORT, f("TP-NO-LOSS", "FAIL", f"concat(if(r_enough, 'Baseline', 'Run'), ' log has fewer than {T.COMPARE_MIN_POINTS} valid loss points.')", "cast(if(r_enough, b_run_id, r_run_id) as string)")))
     for side, name in (("r", "run"), ("b", "baseline")):
         found.append(when(f"{DEGENERATE} AND {side}_degenerate IS NOT NULL", f("TP-CMP-UNCOMPARABLE", "FAIL", f"'Cannot compare: the {name} has no usable loss scale.'", f"format_string('{name} %s: %s (floor %.3f)', {side}_run_id, {side}_degenerate, {side}_floor)")))
     found += [

@@ -92,7 +92,7 @@ def judge(stats: DataFrame) -> DataFrame:
     quote = lambda s: "'" + s.replace("'", "\\'") + "'"
     when = lambda cond, f: f"CASE WHEN {cond} THEN {f} END"
     found = [
-        when("n_rec = 0", _finding("TP-NO-RECORDS", "FAIL", "'No valid log records found.'", "run_id")),
+        when("n_rec = 0", _finding("TP-NO-RECORDS", "FAIL", "'No valid log records found.'", "cast(run_id as string)")),
         when("n_rec > 0 AND n_loss = 0", _finding("TP-NO-LOSS", "FAIL", "'Could not find loss metric in logs.'", "''")),
         *[when(fires(r), _finding(r.id, r.level, quote(r.message), f"coalesce({r.evidence}, '')")) for r in RULES],
     ]

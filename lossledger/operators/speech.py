@@ -24,7 +24,7 @@ def mixed_scripts(text: Column) -> Column:
 
 def unnormalized(text: Column) -> Column:
     """What a reader would say in other words: digits (with them dates and times) and dotted or all-capital abbreviations."""
-    return text.rlike(r"[0-9]") | text.rlike(r"\b([A-Z]\.){2,}") | text.rlike(r"\b[A-Z]{2,5}\b")
+    return text.rlike(r"[0-9]") | text.rlike(r"(^|[^\p{L}])([A-Z]\.){2,}") | text.rlike(r"(^|[^\p{L}])[A-Z]{2,5}($|[^\p{L}])")
 
 
 def longest_silence(x: np.ndarray) -> int:
