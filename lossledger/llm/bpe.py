@@ -109,10 +109,11 @@ def merge_all(ranks: Ranks, pieces: list[bytes]) -> np.ndarray:
 def count_texts(ranks: Ranks, texts: list[str]) -> np.ndarray:
     """Tokens of each text, every pre-token counted once however often it occurs."""
     found = [regex.findall(PATTERN, t) for t in texts]
-    flat = pd.factorize(np.array([p for f in found for p in f], object)) if any(found) else (np.zeros(0, np.int64), np.zeros(0, object))
-    each = merge_all(ranks, [p.encode() for p in flat[1]])
+    known: dict[str, int] = {}
+    code = np.array([known.setdefault(p, len(known)) for f in found for p in f], np.int64)
+    each = merge_all(ranks, [p.encode() for p in known])
     n = np.array([len(f) for f in found], np.int64)
-    return np.bincount(np.repeat(np.arange(len(texts)), n), each[flat[0]], len(texts)).astype(np.int64)
+    return np.bincount(np.repeat(np.arange(len(texts)), n), each[code], len(texts)).astype(np.int64)
 
 
 def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:

@@ -67,11 +67,11 @@ def mix_plan(docs: DataFrame, budget: float | None, id_col: str, text_col: str,
     spark = docs.sparkSession
     n = F.greatest(F.coalesce((length if length is not None else n_tokens(text_col)).cast("long"), F.lit(0)), F.lit(0))
     block = F.pmod(_rand("block", F.col(id_col)), F.lit(BLOCKS)).cast("int")
-    keyed = docs.select("*", n.alias("__n"), block.alias("__block"))
-    sums = keyed.groupBy(F.col(source_col).cast("string").alias("s"), "__block").agg(F.sum("__n").alias("n")).collect()  # BLOCKS rows for each source
+    keyed = docs.select("*", n.alias("__mix_n"), block.alias("__mix_b"))
+    sums = keyed.groupBy(F.col(source_col).cast("string").alias("s"), "__mix_b").agg(F.sum("__mix_n").alias("n")).collect()  # BLOCKS rows for each source
     by: dict[str | None, dict[int, int]] = {}
     for r in sums:
-        by.setdefault(r["s"], {})[r["__block"]] = r["n"]
+        by.setdefault(r["s"], {})[r["__mix_b"]] = r["n"]
     names = sorted(by, key=lambda s: (s is not None, s or ""))
     tokens = [sum(by[s].values()) for s in names]
     total = sum(tokens)
@@ -92,7 +92,7 @@ def mix_plan(docs: DataFrame, budget: float | None, id_col: str, text_col: str,
                     break
                 rest -= by[s][b]
         rows.append((s, w, share, int(passes), cut[0] if cut else -1, cut[1] if cut else -1, left))
-    plan = spark.createDataFrame(rows, "s string, weight double, budget long, passes long, cut_rank long, cut_block int, cut_left long")
+    plan = spark.createDataFrame(rows, "__mix_s string, __mix_weight double, __mix_budget long, __mix_passes long, __mix_rank long, __mix_block int, __mix_left long")
     return keyed, plan, t
 
 
@@ -115,21 +115,21 @@ def mix(docs: DataFrame, budget: float | None = None, id_col: str = "doc_id", te
     keep = [c for c in docs.columns if c not in ("epoch", "block_rank")]
     keyed, plan, _ = mix_plan(docs.select(*keep), budget, id_col, text_col, source_col, length, min_entropy, max_repeats)
     plan = F.broadcast(plan)  # a row for each source
-    src = F.col(source_col).cast("string").eqNullSafe(F.col("s"))
+    src = F.col(source_col).cast("string").eqNullSafe(F.col("__mix_s"))
     doc_rank = _rand("doc", F.col(id_col))
     # documents of the one block of each source that the budget cuts
-    edge = keyed.select(id_col, source_col, "__n", "__block", F.xxhash64(text_col).alias("__h")).join(plan, src & (F.col("__block") == F.col("cut_block")))
-    edge = edge.groupBy("s", doc_rank.alias("r"), F.col(id_col).alias("i"), "__h", "cut_left").agg(F.sum("__n").alias("n"))
+    edge = keyed.select(id_col, source_col, "__mix_n", "__mix_b", F.xxhash64(text_col).alias("__h")).join(plan, src & (F.col("__mix_b") == F.col("__mix_block")))
+    edge = edge.groupBy(F.col("__mix_s").alias("s"), doc_rank.alias("r"), F.col(id_col).alias("i"), "__h", F.col("__mix_left").alias("cut_left")).agg(F.sum("__mix_n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("s").orderBy("r", "i", "__h").rowsBetween(Window.unboundedPreceding, -1))
-    last = edge.withColumn("before", F.coalesce(before, F.lit(0))).where("before < cut_left").groupBy("s").agg(F.max(F.struct("r", F.col("i").isNotNull().alias("k"), "i", "__h")).alias("last"))
-    cuts = plan.join(F.broadcast(last.withColumnRenamed("s", "s2")), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
-    rank = _rand("order", F.col(source_col), F.col("__block"))
-    ahead = (rank < F.col("cut_rank")) | ((rank == F.col("cut_rank")) & (F.col("__block") < F.col("cut_block")))
+    last = edge.withColumn("before", F.coalesce(before, F.lit(0))).where("before < cut_left").groupBy("s").agg(F.max(F.struct("r", F.col("i").isNotNull().alias("k"), "i", "__h")).alias("__mix_last"))
+    cuts = plan.join(F.broadcast(last.withColumnRenamed("s", "__mix_s2")), F.col("__mix_s").eqNullSafe(F.col("__mix_s2")), "left").drop("__mix_s2")
+    rank = _rand("order", F.col(source_col), F.col("__mix_b"))
+    ahead = (rank < F.col("__mix_rank")) | ((rank == F.col("__mix_rank")) & (F.col("__mix_b") < F.col("__mix_block")))
     at = F.struct(doc_rank.alias("r"), F.col(id_col).isNotNull().alias("k"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("__h"))
-    partial = ahead | ((F.col("__block") == F.col("cut_block")) & (at <= F.col("last")))
-    copies = F.col("passes") + F.when(F.coalesce(partial, F.lit(False)), 1).otherwise(0)
-    out = keyed.join(F.broadcast(cuts), src).withColumn("__copies", copies).where("__copies > 0")
-    return out.select(*keep, rank.alias("block_rank"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).alias("epoch"))
+    partial = ahead | ((F.col("__mix_b") == F.col("__mix_block")) & (at <= F.col("__mix_last")))
+    copies = F.col("__mix_passes") + F.when(F.coalesce(partial, F.lit(False)), 1).otherwise(0)
+    out = keyed.join(F.broadcast(cuts), src).withColumn("__mix_copies", copies).where("__mix_copies > 0")
+    return out.select(*keep, rank.alias("block_rank"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mix_copies") - 1)).alias("epoch"))
 
 
 # the same in SQL: the exponent by 50 bisections in a recursive query

@@ -39,7 +39,7 @@ STEPS = 6
 MIN_POLARITY = 0.5
 #: Labelled rows, at most, on which rates and threshold are fitted.
 FIT_ROWS = 20_000
-_FLUSH = 4_000_000
+_FLUSH = 2_500_000
 
 
 # 1. word statistics ------------------------------------------------------------------------------------------------
@@ -64,7 +64,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held = 0
     for b in batches:
-        for lo, hi in _text.slices(b.column(0), 1 << 22):
+        for lo, hi in _text.slices(b.column(0), 1 << 21):
             part = b.slice(lo, hi - lo)
             w = _text.words(part.column(0))
             label = part.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -141,7 +141,7 @@ def _pairs(nodes, bins: int, window: int):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bin", "keys", "n"])
 
         for b in batches:
-            for lo, hi in _text.slices(b.column(0), 1 << 22):
+            for lo, hi in _text.slices(b.column(0), 1 << 21):
                 w = _text.words(b.column(0).slice(lo, hi - lo))
                 at = index.get_indexer(w.hash)
                 for d in range(1, window + 1):
