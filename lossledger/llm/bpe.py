@@ -25,7 +25,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 #: A space after white space (in any script): there a text can't be cut into units at spaces.
 _HARD = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 #: Unit counts a worker remembers; beyond it starts afresh.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 class Ranks:

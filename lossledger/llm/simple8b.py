@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -43,20 +44,17 @@ def encode(ids: np.ndarray, block_of: np.ndarray) -> tuple[np.ndarray, np.ndarra
     choice[bits <= 60] = 13
     top = int(bits.max())
     for s in range(12, -1, -1):  # ever more, narrower ids; the last that fits wins
-        wide = np.flatnonzero(bits > WIDTH[s]) if WIDTH[s] < top else None
-        if wide is None:
+        if WIDTH[s] >= top:
             choice[:] = s
-        elif len(wide) < n:
-            choice[_until(wide, n) >= np.minimum(COUNT[s], left)] = s
+            continue
+        narrow = np.flatnonzero(bits <= WIDTH[s])
+        if len(narrow):  # how far the narrow ids go on from each of them
+            last = np.append(np.flatnonzero(np.diff(narrow) > 1), len(narrow) - 1)
+            run = np.repeat(narrow[last], np.diff(last, prepend=-1)) - narrow + 1
+            choice[narrow[run >= np.minimum(COUNT[s], left[narrow])]] = s
     return _place(ids, choice, left, block_of, ends)
 
 
-def _until(wide: np.ndarray, n: int) -> np.ndarray:
-    """Distance from each place to the next of the given ones."""
-    nxt = np.append(wide, n)
-    return np.repeat(nxt, np.diff(np.concatenate(([-1], nxt))))[:n] - np.arange(n)
-
-
 _BITS = np.zeros(1 << 16, np.uint8)
 _BITS[1:] = np.floor(np.log2(np.arange(1, 1 << 16))).astype(np.uint8) + 1
 
@@ -123,8 +121,9 @@ _ENCODERS: dict[str, object] = {}
 
 
 def _run(path: str, block: int):
-    known: dict[str, int] = {}  # unit -> its row in the arrays below
-    held: list[np.ndarray] = []
+    known: dict[str, int] = {}  # unit -> its number; its ids are flat[begin : begin + size]
+    nothing = np.zeros(0, np.int64)
+    held = [np.zeros(0, np.int32), nothing, nothing]  # flat, begin, size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
@@ -137,18 +136,21 @@ def _run(path: str, block: int):
                 names = names.to_pylist()
                 if len(known) + len(names) > CACHE:
                     known.clear()
-                    held.clear()
-                for u in names:
-                    if u not in known:
-                        known[u] = len(held)
-                        held.append(np.array(tok(unit_text(u)), np.int32))
-                each = [held[known[u]] for u in names]
-                size = np.array([len(x) for x in each], np.int64)
-                flat = np.concatenate(each) if each else np.zeros(0, np.int32)
-                begin = np.cumsum(size) - size
-                n = size[code]
+                    held[:] = np.zeros(0, np.int32), nothing, nothing
+                which = np.fromiter((known.get(u, -1) for u in names), np.int64, len(names))
+                new = np.flatnonzero(which < 0)
+                if len(new):
+                    got = [tok(unit_text(names[i])) for i in new]
+                    size = np.fromiter(map(len, got), np.int64, len(got))
+                    flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
+                    which[new] = len(known) + np.arange(len(new))
+                    known.update(zip((names[i] for i in new), which[new].tolist()))
+                    held[:] = np.append(held[0], flat), np.append(held[1], len(held[0]) + np.cumsum(size) - size), np.append(held[2], size)
+                flat, begin, size = held
+                each = which[code]
+                n = size[each]
                 end = np.cumsum(n)
-                ids = flat[np.arange(int(n.sum())) + np.repeat(begin[code] - (end - n), n)]
+                ids = flat[np.arange(int(n.sum())) + np.repeat(begin[each] - (end - n), n)]
                 row_n = np.append(0, end)[bounds]
                 counts = np.diff(row_n)
                 if hard.any():
