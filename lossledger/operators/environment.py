@@ -113,7 +113,10 @@ def check_checkpoint(path: str | Path) -> list[dict[str, str]]:
 
 
 def inspect_checkpoints(files: DataFrame) -> DataFrame:
-    """files as of the binaryFile format -> path, id, level, message, evidence; one file in memory at a time on each executor core."""
+    """files as of the binaryFile format -> path, id, level, message, evidence; one file in memory at a time on each executor core.
+
+    A scan doesn't deliver zero-byte files: check_checkpoint() finds those.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,8 +81,6 @@ class PreflightResult:
 
 def token_counter(tokenizer: Any) -> Callable[[Column], Column]:
     """Arrow-batched token counts of a tokenizer with encode(), or of a callable that returns input_ids."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         n = (lambda t: len(tokenizer.encode(t))) if hasattr(tokenizer, "encode") else (lambda t: len(tokenizer(t).get("input_ids", [])))

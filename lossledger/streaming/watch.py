@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import thresholds as T
 from ..operators.single_run import check_records
@@ -29,7 +29,7 @@ def judge_growing(spark: SparkSession, store: str, least: int = T.WATCH_MIN_POIN
         part = F.pmod(F.xxhash64("run_id"), F.lit(PARTS)).cast("int")
         # each batch is a folder of its own: writing it again after a failure changes nothing
         batch.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={batch_id}")
-        grown = spark.read.schema(batch.schema.add("part", "int").add("batch", "int")).parquet(store).where(F.col("batch") <= batch_id)
+        grown = spark.read.schema(StructType([*batch.schema.fields, StructField("part", IntegerType()), StructField("batch", IntegerType())])).parquet(store).where(F.col("batch") <= batch_id)
         runs = batch.select("run_id", part.alias("part")).distinct()
         reports = check_records(grown.join(runs, ["run_id", "part"], "left_semi").drop("part", "batch"))
         return reports.withColumn("verdict", F.when(F.col("n_loss") >= least, F.col("verdict")))
