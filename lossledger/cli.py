@@ -25,7 +25,7 @@ def parse_map(items: list[str] | None) -> dict[str, str]:
 
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lossledger", description="Verdicts on training runs, at fleet scale.")
-    p.add_argument("--version", action="version", version=envelope.VERSION)
+    p.add_argument("--version", version=envelope.VERSION, action="version")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, *flags: str, **kw) -> argparse.ArgumentParser:
@@ -35,7 +35,7 @@ def build_parser() -> argparse.ArgumentParser:
         if "sarif" in flags:
             c.add_argument("--sarif", metavar="PATH")
         if "log" in flags:
-            c.add_argument("--format", choices=["auto", "hf", "coqui", "jsonl", "csv", "tfevents"], default="auto")
+            c.add_argument("--format", choices="auto hf coqui jsonl csv tfevents".split(), default="auto")
             c.add_argument("--map", action="append", metavar="CANON=COLUMN")
         return c
 
@@ -56,7 +56,7 @@ def build_parser() -> argparse.ArgumentParser:
     c = command("watch", "log")
     c.add_argument("logfile")
     c.add_argument("--interval", type=float, default=T.WATCH_INTERVAL_SEC)
-    c.add_argument("--until-fail", action="store_true")
+    c.add_argument("--until-fail", dest="until_fail", action="store_true")
     c.add_argument("--stall-timeout", type=float, default=T.STALL_SEC)
     c = command("preflight", "json", "sarif")
     c.add_argument("dataset")
@@ -68,7 +68,7 @@ def build_parser() -> argparse.ArgumentParser:
         c.add_argument(f"--{name}")
     for name in ("required-gb", "checkpoint-gb"):
         c.add_argument(f"--{name}", type=float)
-    c.add_argument("--keep", type=int, default=1)
+    c.add_argument("--keep", default=1, type=int)
     return p
 
 
@@ -117,7 +117,7 @@ def _compare(a) -> tuple[list[dict], list[dict]]:
     return out, rows
 
 
-def poll(path: str, fmt: str, overrides: dict[str, str], previous: str | None) -> tuple[str | None, bool, int, list[dict]]:
+def poll(path: str, fmt: str, overrides: dict[str, str], previous: str | None = None) -> tuple:
     """(verdict or None while warming up, whether it changed, records, findings)."""
     from .api import judge_logs
 
@@ -129,14 +129,14 @@ def poll(path: str, fmt: str, overrides: dict[str, str], previous: str | None) -
 
 
 def _watch(a) -> int:
-    from .streaming.watch import StallClock
+    from .streaming.watch import StallClock, stall_finding
 
     last, clock = None, StallClock(a.stall_timeout)
     try:
         while True:
             size = os.path.getsize(a.logfile) if os.path.exists(a.logfile) else -1
             if clock.tick(size, time.monotonic()):
-                console.print_verdict("WARN", [{"id": "TP-STALL", "level": "WARN", "message": f"No log growth for {a.stall_timeout:.0f}s - training may be stalled."}])
+                console.print_verdict("WARN", [stall_finding(a.stall_timeout)])
             verdict, changed, n, findings = poll(a.logfile, a.format, parse_map(a.map), last)
             print(f"records={n} " + (f"verdict={verdict} findings={len(findings)}" if verdict else "warming up"))
             if changed:

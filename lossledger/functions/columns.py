@@ -9,7 +9,7 @@ from ..schema import alias_map
 
 #: What Python's float() accepts, white space stripped.
 FLOAT_RE = r"^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
-ANSI_RE = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
+ANSI_RE = r"\x1B(\[[\x30-\x3F]*[\x20-\x2F]*[\x40-\x7E]|[\x40-\x5A\x5C-\x5F])"
 #: Where str.splitlines() breaks.
 LINE_RE = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 

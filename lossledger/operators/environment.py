@@ -27,7 +27,7 @@ def _f(id_: str, level: str, message: str, evidence: str = "") -> dict[str, str]
     return {"id": f"TP-ENV-{id_}", "level": level, "message": message, "evidence": evidence}
 
 
-def memory_gb() -> tuple[float, float] | None:
+def memory_gb():
     """(total, available); None where it can't be told, which isn't zero."""
     try:
         rows = dict(x.split(":", 1) for x in Path("/proc/meminfo").read_text().splitlines() if ":" in x)
@@ -44,7 +44,7 @@ def check_memory(required_gb: float | None = None, memory: tuple[float, float] |
     total, free = memory
     if required_gb is None:
         return [_f("MEM-INFO", "INFO", "System memory measured.", f"{free:.1f} GB available of {total:.1f} GB; nothing is required of it")]
-    told = f"{free:.1f} GB available, {required_gb:.1f} GB required"
+    told = f"available {free:.1f} GB, required {required_gb:.1f} GB"
     if free < required_gb:
         return [_f("MEM-INSUFFICIENT", "FAIL", "Less memory is available than the run needs.", told)]
     if free - required_gb < T.RAM_MARGIN_GB:
@@ -63,20 +63,21 @@ except BaseException as e:
 """
 
 
-def check_import(module: str, python: str | None = None, timeout: float = T.IMPORT_TIMEOUT_SEC, cwd: str | None = None) -> list[dict[str, str]]:
+def check_import(module: str, timeout: float = T.IMPORT_TIMEOUT_SEC, python: str | None = None, cwd: str | None = None) -> list[dict[str, str]]:
     """Imports the module in another process, which may crash or hang without harm."""
-    exe = python or sys.executable
-    if cwd is not None and not os.path.isdir(cwd):
+    if cwd and not os.path.isdir(cwd):
         return [_f("CWD-MISSING", "NOT-CHECKED", "There is no such working directory to probe from.", cwd)]
+    exe = python if python else sys.executable
     try:
-        got = subprocess.run([exe, "-c", _PROBE, module], capture_output=True, text=True, timeout=timeout, cwd=cwd)
+        got = subprocess.run([exe, "-c", _PROBE, module], cwd=cwd, timeout=timeout, text=True, capture_output=True)
     except subprocess.TimeoutExpired:
         return [_f("IMPORT-TIMEOUT", "FAIL", f"Importing '{module}' did not finish.", f"nothing after {timeout:.0f}s")]
     except OSError as e:
         return [_f("PYTHON-UNUSABLE", "NOT-CHECKED", "The interpreter could not be run.", f"{exe}: {e}")]
     if got.returncode == 0:
         return [_f("IMPORT-OK", "PASS", f"'{module}' imports cleanly.", f"interpreter {exe}")]
-    parts = (got.stderr.strip().splitlines() or [""])[-1].split("|")
+    told = got.stderr.strip().splitlines()
+    parts = told[-1].split("|", 3) if told else []
     if len(parts) < 4 or not parts[0]:
         return [_f("IMPORT-CRASH", "FAIL", f"Importing '{module}' crashed the interpreter.", f"exit code {got.returncode} and no exception: a native crash")]
     return [_f("IMPORT-FAIL", "FAIL", f"'{module}' can't be imported.", f"{parts[0]}: {parts[1]}" + (f" (at {parts[2]}:{parts[3]})" if parts[2] else ""))]
@@ -102,7 +103,7 @@ def inspect_archive(name: str, data: bytes | None, size: int | None = None) -> d
         return _f("CKPT-TRUNCATED", "FAIL", "The save of this checkpoint never finished.", f"{about}: {e}")
     if bad is not None:
         return _f("CKPT-CORRUPT", "FAIL", "Checkpoint archive fails its own checksums.", f"first bad entry: {bad}")
-    if not any(n.endswith("data.pkl") for n in names):
+    if "data.pkl" not in {os.path.basename(n) for n in names}:
         return _f("CKPT-UNREADABLE", "FAIL", "Archive without a data.pkl: no checkpoint.", f"{name}: {len(names)} entries")
     return _f("CKPT-OK", "PASS", "Checkpoint is a complete archive.", f"{about}, {sum('/data/' in n for n in names)} tensor storages, checksums intact")
 
@@ -126,8 +127,8 @@ def inspect_checkpoints(files: DataFrame) -> DataFrame:
     return files.select("path", F.col("content")).mapInPandas(run, "path string, id string, level string, message string, evidence string")
 
 
-def check_disk(output_dir: str | Path, checkpoint_gb: float | None = None, keep: int = 1) -> list[dict[str, str]]:
-    p = Path(output_dir)
+def check_disk(where: str | Path, checkpoint_gb: float | None = None, keep: int = 1) -> list[dict[str, str]]:
+    p = Path(where)
     at = p if p.exists() else p.parent
     if not at.exists():
         return [_f("DISK-UNKNOWN", "NOT-CHECKED", "Neither the output directory nor its parent exists.", str(p))]
@@ -144,7 +145,7 @@ def roll_up(findings: list[dict[str, str]]) -> str:
     return "FAIL" if "FAIL" in levels else "WARN" if "WARN" in levels else "NOT-CHECKED" if levels <= {"NOT-CHECKED", "INFO"} else "PASS"
 
 
-def check_env(module: str | None = None, checkpoint: str | None = None, required_gb: float | None = None, output_dir: str | None = None, checkpoint_gb: float | None = None, keep: int = 1, python: str | None = None, cwd: str | None = None) -> dict:
+def check_env(module=None, checkpoint=None, required_gb=None, output_dir=None, checkpoint_gb=None, keep=1, python=None, cwd=None) -> dict:
     """One report of all checks that were asked for."""
     parts = {
         "import": (module, lambda: check_import(module, python=python, cwd=cwd), "no --module given"),
@@ -153,4 +154,4 @@ def check_env(module: str | None = None, checkpoint: str | None = None, required
         "disk": (output_dir, lambda: check_disk(output_dir, checkpoint_gb, keep), "no --output-dir given"),
     }
     findings = [f for asked, run, _ in parts.values() if asked for f in run()]
-    return {"verdict": roll_up(findings), "findings": findings, "checks": {"ran": sorted(k for k, p in parts.items() if p[0]), "skipped": {k: p[2] for k, p in parts.items() if not p[0]}}}
+    return {"findings": findings, "verdict": roll_up(findings), "checks": {"ran": sorted(k for k, p in parts.items() if p[0]), "skipped": {k: p[2] for k, p in parts.items() if not p[0]}}}

@@ -54,10 +54,8 @@ def judge_coverage(cov: DataFrame, num_classes: int) -> DataFrame:
 
 def _flat(targets: Any) -> Iterable[int]:
     """Ints of a tensor, an array or nested sequences."""
-    if hasattr(targets, "detach"):
-        targets = targets.detach().cpu()
-    if hasattr(targets, "tolist"):
-        targets = targets.tolist()
+    for step in ("detach", "cpu", "tolist"):
+        targets = getattr(targets, step, lambda same=targets: same)()
     if isinstance(targets, (list, tuple)):
         for x in targets:
             yield from _flat(x)
@@ -69,14 +67,13 @@ class TargetCoverage:
     """The same, fed batch by batch inside a training process; mergeable."""
 
     def __init__(self, num_classes: int, ignore_index: int | None = None) -> None:
-        self.num_classes = int(num_classes)
-        self.ignore_index = None if ignore_index is None else int(ignore_index)
+        self.classes, self.ignored = int(num_classes), ignore_index
         self.seen: set[int] = set()
         self.n_targets = self.out_of_range = 0
 
     def observe(self, targets: Any) -> TargetCoverage:
-        ids = [t for t in _flat(targets) if t != self.ignore_index]
-        inside = [t for t in ids if 0 <= t < self.num_classes]
+        ids = [t for t in _flat(targets) if t != self.ignored]
+        inside = [t for t in ids if 0 <= t < self.classes]
         self.n_targets += len(ids)
         self.out_of_range += len(ids) - len(inside)
         self.seen.update(inside)
@@ -89,7 +86,7 @@ class TargetCoverage:
         return self
 
     def result(self) -> list[dict[str, str]]:
-        return coverage_findings(self.num_classes, self.n_targets, self.out_of_range, self.seen)
+        return coverage_findings(self.classes, self.n_targets, self.out_of_range, self.seen)
 
 
 def coverage_findings(n: int, n_targets: int, out_of_range: int, seen: Iterable[int]) -> list[dict[str, str]]:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from .. import thresholds as T
 from ..sources.datasets import read_jsonl
 
-TEXT_FIELDS = ("text", "output", "content", "response", "completion")
+TEXT_FIELDS = "text output content response completion".split()
 BLANK_RE = r"^[\s\x1c-\x1f\x{85}\p{Z}]*$"
 
 

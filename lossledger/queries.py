@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---- events as logs -------------------------------------------------------------------------------------------------
+# -- events as logs
 
 _DIALECT = {
     "spark": {"us": "unix_micros(cast(ts as timestamp))", "k": "cast(get_json_object(props, '$.k') as double)", "nan": "double('NaN')", "table": "events"},
@@ -179,7 +179,7 @@ def throughput_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_stats(log_records(spark, sf_dir)).where("n_t >= 2 and t1 > t0 and s1 > s0").select("run_id", F.round((F.col("s1") - F.col("s0")) / (F.col("t1") - F.col("t0")), 9).alias("rate"))
 
 
-# ---- comparisons ----------------------------------------------------------------------------------------------------
+# -- comparisons
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +244,7 @@ _CROSS = f"SELECT {_SIDE('r', 'm')}, {_SIDE('b', 'base')} FROM m, base"
 _JUDGE_SQL = _stats_sql("mixed") + f", {_JUDGED}, {_METRICS_SQL}, {_BASE_SQL}, "
 
 
-# ---- columns, tags, gaps and islands --------------------------------------------------------------------------------
+# -- columns, tags, gaps and islands
 
 
 def json_column_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +301,7 @@ def gaps_and_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("island", island.cast("long")).groupBy(F.col("user_id").alias("run_id"), "island").agg(F.count("*").alias("n"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
 
 
-# ---- datasets, objectives, texts -------------------------------------------------------------------------------------
+# -- datasets, objectives, texts
 
 
 def preflight_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,7 +383,7 @@ def number_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("doc_id").agg(F.count("*").alias("numbers"), F.count_if(F.length("num") > F.length("num") / 2 + 1).alias("splits"))
 
 
-# ---- fleet -----------------------------------------------------------------------------------------------------------
+# -- fleet
 
 
 def top_newest(spark: SparkSession, sf_dir: str) -> DataFrame:

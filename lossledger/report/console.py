@@ -27,7 +27,7 @@ def print_verdict(verdict: str, findings: list[dict]) -> None:
 def autopsy_text(r: dict) -> str:
     """A run in full, with its findings against a baseline apart."""
     single, against = ([f for f in r["findings"] if (f.get("source") == "compare") == c] for c in (False, True))
-    n = {k: sum(f.get("level") == k for f in single) for k in ("PASS", "WARN", "FAIL", "NOT-CHECKED")}
+    n = {k: sum(f.get("level") == k for f in single) for k in "PASS WARN FAIL NOT-CHECKED".split()}
     lines = [f"FILE   : {r['file']}", f"FORMAT : {r.get('fmt')}", f"RECORDS: {r.get('num_records')} (steps {r.get('step_range')})", f"VERDICT: {r['verdict']}", *_lines(single, ""), "Findings: " + ", ".join(f"{v} {k}" for k, v in n.items())]
     if r.get("mapping") and r.get("fmt") in ("csv", "jsonl"):
         lines.append("COLUMNS: " + ", ".join(f"{k}<-'{v}'" for k, v in r["mapping"].items()))

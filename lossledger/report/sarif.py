@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from .envelope import VERSION
 
-_LEVEL = {"FAIL": "error", "WARN": "warning", "NOT-CHECKED": "warning"}
+_LEVEL = dict.fromkeys(("WARN", "NOT-CHECKED"), "warning") | {"FAIL": "error"}
 
 
 def to_sarif(reports: list[dict]) -> dict:
     rules: dict[str, dict] = {}
     results = []
     for report in reports:
-        uri = str(report.get("file") or report.get("path") or "training-run").replace("\\", "/")
+        uri = str(next((report[k] for k in ("file", "path") if report.get(k)), "training-run")).replace("\\", "/")
         for f in report.get("findings", []):
             if not f.get("id"):
                 continue
@@ -19,6 +19,6 @@ def to_sarif(reports: list[dict]) -> dict:
             rules.setdefault(f["id"], {"id": f["id"], "shortDescription": {"text": f.get("message") or f["id"]}, "defaultConfiguration": {"level": level}})
             text = f.get("message", "") + (f" Evidence: {f['evidence']}" if f.get("evidence") else "") + (" (vs. baseline)" if f.get("source") == "compare" else "")
             place = {"artifactLocation": {"uri": uri}, "region": {"startLine": 1}}
-            results.append({"ruleId": f["id"], "ruleIndex": list(rules).index(f["id"]), "level": level, "message": {"text": text}, "locations": [{"physicalLocation": place}]})
+            results.append({"ruleId": f["id"], "ruleIndex": list(rules).index(f["id"]), "level": level, "locations": [{"physicalLocation": place}], "message": {"text": text}})
     driver = {"name": "lossledger", "version": VERSION, "rules": list(rules.values())}
-    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}
+    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"results": results, "tool": {"driver": driver}}], "version": "2.1.0"}

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-ALIASES: dict[str, tuple[str, ...]] = {
-    "loss": ("loss", "train_loss", "training_loss"),
-    "eval_loss": ("eval_loss", "val_loss", "validation_loss", "test_loss"),
-    "lr": ("lr", "learning_rate", "current_lr"),
-    "step": ("step", "iter", "iteration", "global_step"),
-    "grad_norm": ("grad_norm", "gnorm", "gradient_norm", "grad_l2"),
-    "time": ("time", "timestamp", "elapsed"),
-    "step_time": ("step_time", "seconds_per_step"),
-    "loader_time": ("loader_time", "data_time"),
-    "gpu_util": ("gpu_util",),
-}
+#: Canonical name first, then what else it may be called.
+_NAMES = """
+loss train_loss training_loss
+eval_loss val_loss validation_loss test_loss
+lr learning_rate current_lr
+step iter iteration global_step
+grad_norm gnorm gradient_norm grad_l2
+time timestamp elapsed
+step_time seconds_per_step
+loader_time data_time
+gpu_util
+"""
+ALIASES: dict[str, list[str]] = {line.split()[0]: line.split() for line in _NAMES.strip().splitlines()}
 METRICS = list(ALIASES)
 RECORDS_DDL = "run_id string, rec_idx long, " + ", ".join(f"{m} double" for m in METRICS)
 
-GROUPS = ["zero-loss", "flat-loss", "divergence", "dead-run", "zero-grad", "grad-spike", "lr", "overfit", "step-time", "loader"]
-SEVERITY = {"FAIL": 0, "WARN": 1, "NOT-CHECKED": 2, "PASS": 3}
-UNJUDGED_IDS = ("TP-NO-RECORDS", "TP-CMP-ERROR")
+GROUPS = "zero-loss flat-loss divergence dead-run zero-grad grad-spike lr overfit step-time loader".split()
+SEVERITY = {verdict: n for n, verdict in enumerate("FAIL WARN NOT-CHECKED PASS".split())}
+UNJUDGED_IDS = "TP-NO-RECORDS TP-CMP-ERROR".split()
 FINDING_DDL = "struct<id:string,level:string,message:string,evidence:string,source:string>"
 
-RUN_META = ("max_steps", "num_train_epochs", "logging_steps", "save_steps", "eval_steps", "train_batch_size", "best_metric", "best_global_step", "best_model_checkpoint")
+RUN_META = "best_global_step best_metric best_model_checkpoint eval_steps logging_steps max_steps num_train_epochs save_steps train_batch_size".split()
 
 
 def alias_map(overrides: dict[str, str] | None = None) -> dict[str, str]:

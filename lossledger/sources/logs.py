@@ -106,7 +106,7 @@ def parse_coqui(files: DataFrame, overrides: dict[str, str] | None = None) -> Da
     lines = files.select("run_id", F.posexplode(F.split(F.regexp_replace("text", ANSI_RE, ""), LINE_RE)).alias("pos", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
     head = F.col("line").startswith("--> TIME:") & F.col("line").contains("-- GLOBAL_STEP:")
     island = F.sum(head.cast("int")).over(Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stamp = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(F.regexp_extract("line", r"TIME:\s*([\d-]+\s[\d:]+)", 1), r"\s", " "), F.lit("yyyy-MM-dd HH:mm:ss"))).cast("string")
+    stamp = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(F.regexp_extract("line", r"TIME:\s*(\d[\d-]*\s+\d[\d:]*)", 1), r"\s", " "), F.lit("yyyy-MM-dd HH:mm:ss"))).cast("string")
     rest = F.split(F.substring("line", 5, 1_000_000), ":")
     value = F.try_element_at(F.split(F.regexp_replace(F.try_element_at(rest, F.lit(2)), r"^\s+", ""), r"\s+"), F.lit(1))
     pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))

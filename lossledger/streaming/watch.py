@@ -69,7 +69,11 @@ def stream_records(spark: SparkSession, directory: str, schema: str | StructType
 def stalls(last_growth: DataFrame, now: float, timeout: float = T.STALL_SEC) -> DataFrame:
     """last_growth (run_id, grew_at in epoch seconds) -> a TP-STALL finding for each run that hasn't grown for longer than the timeout."""
     quiet = last_growth.where(F.lit(now) - F.col("grew_at") > timeout)
-    return quiet.select("run_id", F.lit("TP-STALL").alias("id"), F.lit("WARN").alias("level"), F.lit(f"No log growth for {timeout:.0f}s - training may be stalled.").alias("message"), F.lit("").alias("evidence"))
+    return quiet.select("run_id", *[F.lit(v).alias(k) for k, v in stall_finding(timeout).items()])
+
+
+def stall_finding(timeout: float) -> dict[str, str]:
+    return dict(id="TP-STALL", level="WARN", message=f"The log hasn't grown for {timeout:.0f}s: training may be stalled.", evidence="")
 
 
 class StallClock:

@@ -190,14 +190,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.poll(str(tmp_path / "none"), "auto", {}, None)[0] is None
 
 
-class Tok:
-    eos_token, eos_token_id, pad_token, pad_token_id, bos_token = "</s>", 2, "</s>", 2, None
-
-    def encode(self, text):
-        return text.split()
+def test_preflight(spark, tmp_path):
+    class Tok:  # in here, so that workers get it by value
+        eos_token, eos_token_id, pad_token, pad_token_id, bos_token = "</s>", 2, "</s>", 2, None
 
+        def encode(self, text):
+            return text.split()
 
-def test_preflight(spark, tmp_path):
     clean = write(tmp_path / "c.jsonl", '{"text": "a b c"}\n\n{"output": "d"}\n{"n": 1, "text": 5}')
     r = preflight.preflight(spark, clean)
     assert r.verdict == "PASS" and [f["id"] for f in r.findings] == ["TP-PRE-OK"]
