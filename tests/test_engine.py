@@ -137,7 +137,7 @@ def test_compare(spark, reports):
     assert got["short"] == ("FAIL", ["TP-NO-LOSS"])
     assert got["zero"] == ("FAIL", ["TP-CMP-UNCOMPARABLE"]) == got["four_zeros"]
     bad = {r.run_id: (r.verdict, [f.id for f in r.findings]) for r in C.compare(m.where("run_id in ('base', 'short')"), m.where("run_id = 'worse'")).collect()}
-    assert bad["base"] == ("WARN", ["TP-BAD-BASELINE"]) and bad["short"] == ("FAIL", ["TP-NO-LOSS"])
+    assert bad["base"] == ("FAIL", ["TP-BAD-BASELINE", "TP-FLOOR-RATIO"]) and bad["short"] == ("FAIL", ["TP-NO-LOSS"])
     zero = C.compare(m.where("run_id = 'healthy'"), m.where("run_id = 'late_zero'")).first()
     assert zero.error == "zero baseline floor" and "TP-CMP-ERROR" in [f.id for f in zero.findings]
     table = [r.asDict() for r in C.ranking(C.compare(m, base), base).collect()]
