@@ -337,6 +337,16 @@ def test_katz_backoff_weights_normalise(rows):
         assert kept[ctx] + a * (1 - lows[ctx]) == pytest.approx(1, abs=1e-9)
 
 
+def test_katz_keeps_rare_words(spark, docs, rows):
+    """Words below the code book's share are words of the model, not one unknown word."""
+    want, *_ = brute_katz([r[1] for r in rows])
+    expect = sorted(((r[0], len(words(r[1])), round(x, 6)) for r, x in zip(rows, want)), key=repr)
+    for share, part in ((1.0, katz.PART), (0.02, katz.PART), (0.02, 40)):
+        got = sorted((tuple(r)[:3] for r in katz.score_documents(docs, min_share=share, part=part).collect()), key=repr)
+        assert [g[:2] for g in got] == [e[:2] for e in expect]
+        assert [g[2] for g in got] == pytest.approx([e[2] for e in expect], abs=2e-6)
+
+
 # ---- 5 line dedup
 
 
