@@ -1,9 +1,8 @@
 """Operator 3, toxicity by lexicon induction.
 
-1. Word statistics over all documents; the vocabulary are the words in at least MIN_SHARE of the documents (so that its size
-   is bounded by the words of an average document / MIN_SHARE, whatever the corpus holds).
+1. Word statistics over all documents; the vocabulary are all words, however few documents they are in.
 2. Seeds from the labels: words whose labelled documents are toxic, or not, in their majority with confidence.
-3. A word graph: pairs of vocabulary words within WINDOW words of each other in any document, weighted by positive pointwise
+3. A word graph: pairs of words within WINDOW words of each other in any document, weighted by positive pointwise
    mutual information where the association is significant. Words in more than MAX_SHARE of the documents are no nodes
    unless they are toxic seeds.
 4. Two random walks with restart over that graph, from the toxic and from the clean seeds. A word's polarity is
@@ -22,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,6 @@ from . import _text
 from ._blob import count_sorted, narrow, pack, pack_sorted, unpack, unpack_sorted
 from ._tables import buckets, materialise, small
 
-MIN_SHARE = 3e-4
 MAX_SHARE = 0.05
 WINDOW = 3
 Z = 2.58
@@ -226,7 +225,7 @@ def word_graph(docs: DataFrame, nodes: Nodes, window: int = WINDOW, min_g2: floa
     spark = docs.sparkSession
     n = buckets(spark)
     bins = min(4 * n, max(1, len(nodes.hash)))
-    sent = spark.sparkContext.broadcast(nodes)  # bounded by the vocabulary's least share
+    sent = spark.sparkContext.broadcast(nodes)  # 16 bytes for each word of the corpus
     counted = docs.select("text").mapInArrow(_pairs(sent, bins, window), "bin int, keys binary, n binary").repartition(n, "bin").sortWithinPartitions("bin")
     edges = counted.mapInArrow(_edges(sent, bins, window, min_g2), "bin int, i binary, j binary, w binary")
     return materialise(edges.repartition(n, "bin").sortWithinPartitions("bin").mapInArrow(_merge, "bin int, i binary, j binary, w binary"))
@@ -337,30 +336,32 @@ def fit(lex: Lexicon, n: np.ndarray, hits: np.ndarray, label: np.ndarray) -> Lex
     return Lexicon(lex.word, lex.hash, lex.weight, hot, cold, float((s[order][best] + max(below, 0.0)) / 2 if below > 0 or s[order][best] > 0 else s[order][best]))
 
 
-def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE, max_share: float = MAX_SHARE, window: int = WINDOW, min_g2: float = MIN_G2, min_polarity: float = MIN_POLARITY, fit_rows: int = FIT_ROWS) -> Lexicon:
+def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float = MAX_SHARE, window: int = WINDOW, min_g2: float = MIN_G2, min_polarity: float = MIN_POLARITY, fit_rows: int = FIT_ROWS) -> Lexicon:
     """The fitted lexicon. Without documents, labels or toxic words it is empty and rejects nothing."""
     spark = docs.sparkSession
     both = with_labels(docs, labels, id_col, text_col)
     n_docs = docs.count()
-    vocab = word_stats(both).where(F.col("df") >= max(1.0, min_share * n_docs)).toPandas()
-    total = vocab.loc[vocab["word"] == "", "n"].sum()
-    vocab = vocab[vocab["word"] != ""].copy()
-    vocab["h"] = _text.word_hash(vocab["word"].tolist())
-    vocab = vocab.sort_values("h", ignore_index=True).drop_duplicates("h", ignore_index=True)
-    k, n = vocab["toxic"].to_numpy(float), (vocab["toxic"] + vocab["clean"]).to_numpy(float)
+    vocab = word_stats(both).toArrow().combine_chunks()
+    names, counts = vocab["word"].combine_chunks(), np.stack([vocab[c].to_numpy() for c in ("n", "df", "toxic", "clean")])
+    total = counts[0][pc.equal(names, "").to_numpy(zero_copy_only=False)].sum()
+    h = np.concatenate([np.zeros(0, np.uint64), *[_text.word_hash(names.slice(lo, hi - lo)) for lo, hi in _text.slices(names)]])
+    h, first = np.unique(h, return_index=True)
+    first, h = first[ok := pc.not_equal(names.take(pa.array(first)), "").to_numpy(zero_copy_only=False)], h[ok]
+    names, counts = names.take(pa.array(first)), counts[:, first]
+    k, n = counts[2].astype(float), (counts[2] + counts[3]).astype(float)
     low, high = wilson(k, n)
     toxic = (low > 0.5) & (n > 0)
     clean = (high < 0.5) & (n > 0)
     denied = (k < 0.5 * n)  # the labels speak against it, whatever its neighbours are
-    node = toxic | (vocab["df"].to_numpy() <= max_share * n_docs)
-    vocab, toxic, clean, denied = vocab[node].reset_index(drop=True), toxic[node], clean[node], denied[node]
+    node = toxic | (counts[1] <= max_share * n_docs)
+    names, toxic, clean, denied = names.filter(pa.array(node)), toxic[node], clean[node], denied[node]
     nothing = Lexicon([], np.zeros(0, np.uint64), np.zeros(0))
     if not toxic.any():
         return nothing
-    nodes = Nodes(vocab["h"].to_numpy(), vocab["n"].to_numpy(float), int(total))
+    nodes = Nodes(h[node], counts[0][node].astype(float), int(total))
     value = polarity(word_graph(both, nodes, window, min_g2), np.stack([toxic, clean]))
     pick = (value >= min_polarity) & ~denied
-    lex = Lexicon(vocab["word"][pick].tolist(), nodes.hash[pick], np.round(value[pick], 6))
+    lex = Lexicon(names.filter(pa.array(pick)).to_pylist(), nodes.hash[pick], np.round(value[pick], 6))
     sent = spark.sparkContext.broadcast(lex)
     share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003))
     lab = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))

@@ -227,6 +227,15 @@ def test_toxicity_without_data(spark, docs, empty):
     assert toxicity.drop_toxic(docs, clean).count() == docs.count()
 
 
+def test_rare_toxic_word_stays_found(spark):
+    """A word in eight labelled toxic documents is found however many clean documents there are besides."""
+    for n in (2000, 30_000):
+        docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id % 50, ' w', id * 7 % 53, ' w', id % 31, if(id < 8, ' gronk', ''), ' w', id % 43, ' w', id % 29) as text")
+        lab = spark.range(200).selectExpr("id as doc_id", "if(id < 8, 1, 0) as toxic")
+        assert "gronk" in toxicity.induce(docs, lab).word
+        assert {r.doc_id for r in toxicity.score_documents(docs, lab).where("toxic").collect()} == set(range(8))
+
+
 def test_graph_and_walk(spark):
     out, _ = toxic_corpus(random.Random(2), 120)
     df = spark.createDataFrame(out, "doc_id long, text string")
