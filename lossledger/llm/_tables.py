@@ -18,13 +18,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """The DataFrame written to the shared folder and read again: cuts lineage and survives lost executors."""
+    """The DataFrame written to the shared folder and read again: cuts lineage and survives lost executors.
+
+    The table is deleted by discard(), or when the session ends: results that are still to be computed read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, fs = _hadoop(spark, path)
+    fs.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of materialise() that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        where, fs = _hadoop(df.sparkSession, files[0])
+        fs.delete(where.getParent(), True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df marked for broadcast if it has at most BROADCAST_ROWS rows; else as it is."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df

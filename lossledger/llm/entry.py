@@ -58,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_best_fit_packing": packing.SQL,
     "op4_katz": katz.SQL,
     "op5_line_dedup": linededup.SQL,
     "op6_mixing": mixing.SQL,
