@@ -48,6 +48,14 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of these has, letters' case aside."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def buckets(spark: SparkSession) -> int:
     """Partitions for explicit repartitioning: what the session sets for its shuffles."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -493,28 +493,109 @@ def test_near_duplicates_edges(spark, docs, rows, clashing, empty):
     assert minhash.near_duplicates(empty).collect() == []
 
 
-def test_dense_region_is_refined():
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 1 << 16, (6, minhash.PERMS)).astype(np.uint16)
-    which = rng.integers(0, 6, 900)
+def forest_rows(sig, tree=0):
+    """Sorted regions, sketches and the order, as a task gets them."""
+    packed = minhash.pack_sketch(sig)
+    body = np.roll(packed[:, : minhash.SKETCH], -tree * minhash.STEP // 2, axis=1)
+    region = sig[:, tree * minhash.STEP].astype(np.int64) << 16 | sig[:, tree * minhash.STEP + 1]
+    order = sorted(range(len(sig)), key=lambda i: (region[i], body[i].tobytes()))
+    return region[order], body[order], np.array(order)
+
+
+def clusters(rng, n, k, noise):
+    base = rng.integers(0, 1 << 16, (k, minhash.PERMS)).astype(np.uint16)
+    which = rng.integers(0, k, n)
     sig = base[which].copy()
-    flip = rng.random(sig.shape) < 0.1
+    flip = rng.random(sig.shape) < noise
     sig[flip] = rng.integers(0, 1 << 16, flip.sum()).astype(np.uint16)
-    sig[:, : minhash.LEAST] = 7  # one region of all six clusters
-    root = list(range(900))
+    sig[:, : minhash.LEAST] = 7  # one region
+    return sig, which
+
+
+def roots(n, a, b):
+    root = list(range(n))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in minhash.region_edges(np.arange(900), sig, 0, region=40):
-        for x, y in zip(a.tolist(), b.tolist()):
-            assert which[x] == which[y]
-            root[find(x)] = find(y)
-    assert max(Counter((which[i], find(i)) for i in range(900)).values()) > 100
-    same_prefix = np.tile(base[0], (3000, 1))
-    assert sum(len(a) for a, _ in minhash.region_edges(np.arange(3000), same_prefix, 0, region=40)) == 2999
+    for x, y in zip(a, b):
+        lo, hi = sorted((find(x), find(y)))
+        root[hi] = lo
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("enough", [2, 5, 20])
+def test_candidates_are_longest_prefix_neighbours(enough):
+    """Each row's run against brute force: the deepest prefix that it shares with `enough` rows, or the region."""
+    rng = np.random.default_rng(1)
+    sig, _ = clusters(rng, 150, 4, 0.15)
+    sig[100:, 0] = rng.integers(0, 30, 50)
+    region, body, _ = forest_rows(sig)
+    start, end = minhash.runs(region, body, enough)
+    nib = np.stack([body >> 4, body & 15], axis=2).reshape(len(body), -1)
+    for i in range(len(region)):
+        best = set(np.flatnonzero(region == region[i]))
+        for d in range(minhash.LEAST, minhash.PERMS):
+            same = {j for j in np.flatnonzero(region == region[i]) if (nib[j, : d + 1] == nib[i, : d + 1]).all()}
+            if len(same) >= enough:
+                best = same
+        assert set(range(start[i], end[i])) == best
+
+
+@pytest.mark.parametrize("n,noise", [(900, 0.1), (900, 0.2), (40, 0.1)])
+def test_dense_region_connects_every_cluster(n, noise):
+    """All six clusters of one region, wholly, and no two of them, with a fraction of the pairs."""
+    sig, which = clusters(np.random.default_rng(0), n, 6, noise)
+    region, body, order = forest_rows(sig)
+    a, b, compared = minhash.region_edges(region, body, enough=16)
+    got = roots(n, a, b)
+    for k in range(6):
+        assert len({got[i] for i in range(n) if which[order[i]] == k}) == 1
+    assert len(set(got)) == 6 and (n < 100 or compared < n * n / 4)
+
+
+def test_matches_in_a_region_are_all_pairs_where_it_is_sparse():
+    sig, _ = clusters(np.random.default_rng(3), 60, 20, 0.45)
+    region, body, _ = forest_rows(sig)
+    nib = np.stack([body >> 4, body & 15], axis=2).reshape(len(body), -1)
+    want = [(i, j) for i, j in combinations(range(60), 2) if (nib[i] == nib[j]).sum() >= minhash.needed(minhash.THRESHOLD)]
+    a, b, _ = minhash.region_edges(region, body)
+    assert want and roots(60, a, b) == roots(60, *zip(*want))
+
+
+def test_equal_sketches_join():
+    sig = np.tile(clusters(np.random.default_rng(0), 1, 1, 0.0)[0], (3000, 1))
+    region, body, _ = forest_rows(sig)
+    a, b, compared = minhash.region_edges(region, body)
+    assert len(a) == 2999 and set(b) == {0} and not compared
+
+
+def test_large_groups_around_the_threshold(spark):
+    """A group of over 700 documents whose pairs are a little above the threshold, and divided regions."""
+    rng = random.Random(9)
+    vocab = [f"v{k}" for k in range(4000)]
+    base = [rng.choice(vocab) for _ in range(200)]
+    texts = []
+    for _ in range(700):
+        w = list(base)
+        for k in range(0, 200, 12):
+            w[k + rng.randrange(12) if k + 12 <= 200 else k] = rng.choice(vocab)
+        texts.append(" ".join(w))
+    texts += [" ".join(rng.choice(vocab) for _ in range(150)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for split in (minhash.SPLIT, 60):
+        g = {r.doc_id: r.group_id for r in minhash.near_groups(df, split=split).collect()}
+        assert sum(g.get(i) == 0 for i in range(700)) >= 0.99 * 700 and not any(i in g for i in range(700, 800))
+
+
+def test_near_duplicates_with_other_ids(spark):
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "seven eight nine ten"), ("c", "one two three four five six"), ("d", "seven eight nine ten"), (None, "x y z"), ("e", "")]
+    df = spark.createDataFrame(rows, "id string, body string").selectExpr("*", "1 as gone", "2 as gone_", "3 as doc_id", "4 as group_id", "5 as sig", "6 as region", "7 as a", "8 as b", "9 as v", "10 as root")
+    assert {r.doc_id: r.group_id for r in minhash.near_duplicates(df, "id", "body").collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", None: None, "e": "e"}
+    left = minhash.drop_near_duplicates(df, "id", "body")
+    assert left.columns == df.columns and sorted(r.id or "" for r in left.collect()) == ["", "a", "e"]
 
 
 def test_components(spark):
