@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,23 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+#: 64-bit slots of a bit map: 8 MB, whatever it marks.
+SLOTS = 1 << 20
+
+
+def bits(df: DataFrame, column: str) -> DataFrame:
+    """(slot, bits): the bit map of a column of 64-bit hashes, SLOTS rows at most. False hits grow with the values; none is missed."""
+    h = F.col(column)
+    return df.groupBy(h.bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, 20) & 63 as int))")).alias("bits"))
+
+
+def bit_map(df: DataFrame, column: str) -> np.ndarray:
+    out = np.zeros(SLOTS, np.uint64)
+    t = bits(df, column).toArrow()
+    out[t["slot"].to_numpy()] = t["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name that none of these has, letters' case aside."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -131,7 +131,7 @@ def words(texts: pa.Array) -> Words:
     return Words(hashes(buf, start, end), doc, start, end, first, buf)
 
 
-def word_hash(words_: list[str]) -> np.ndarray:
+def word_hash(words_: list[str] | pa.Array) -> np.ndarray:
     """The hashes that words() gives these words."""
-    buf, off = raw(pa.array(words_, pa.large_string()))
+    buf, off = raw(words_ if isinstance(words_, pa.Array) else pa.array(words_, pa.large_string()))
     return hashes(buf, off[:-1], off[1:])

@@ -1,15 +1,17 @@
 """Operator 3, toxicity by lexicon induction.
 
-1. Word statistics over all documents; the vocabulary are all words, however few documents they are in.
+1. Word statistics over all documents; every word counts, however few documents it is in.
 2. Seeds from the labels: words whose labelled documents are toxic, or not, in their majority with confidence.
-3. A word graph: pairs of words within WINDOW words of each other in any document, weighted by positive pointwise
-   mutual information where the association is significant. Words in more than MAX_SHARE of the documents are no nodes
-   unless they are toxic seeds.
-4. Two random walks with restart over that graph, from the toxic and from the clean seeds. A word's polarity is
-   (t - c) / (t + c), smoothed, of its probabilities in them; words above MIN_POLARITY are the lexicon, with the polarity as weight, except those
-   that labelled documents show to be clean in their majority.
+3. A word graph: its nodes are the toxic seeds and all words significantly associated with one of them; its edges are pairs of nodes within WINDOW
+   words of each other in any document, weighted by positive pointwise mutual information where the association is significant.
+4. Two random walks with restart over that graph, from its toxic and from its clean seeds. A word's polarity is
+   (t - c) / (t + c), smoothed, of its probabilities in them; words above MIN_POLARITY are the lexicon, with the polarity as weight,
+   except those that labelled documents show to be clean in their majority; the toxic seeds are in it with at least that weight.
 5. A document's score is the log likelihood ratio of its weighted lexicon hits under the toxic and the clean hit rate;
    rates and threshold are fitted on a bounded sample of labelled documents (FIT_ROWS).
+
+Words, pairs, edges and walks are tables, keyed by 64-bit word hashes. What goes to every task is a bit map of fixed size that marks
+the nodes (joins with the table of nodes undo its false hits), and the lexicon.
 """
 
 from __future__ import annotations
@@ -21,15 +23,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._blob import count_sorted, narrow, pack, pack_sorted, unpack, unpack_sorted
-from ._tables import buckets, materialise, small
+from ._blob import count_sorted
+from ._tables import bit_map, discard, materialise, small
 
-MAX_SHARE = 0.05
 WINDOW = 3
 Z = 2.58
 MIN_G2 = 10.83
@@ -38,10 +38,9 @@ STEPS = 6
 MIN_POLARITY = 0.5
 #: Labelled rows, at most, on which rates and threshold are fitted.
 FIT_ROWS = 20_000
-_FLUSH = 2_500_000
 
 
-# 1. word statistics ------------------------------------------------------------------------------------------------
+# 1. word statistics ----
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,181 +99,106 @@ def with_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return src.join(small(lab, labels.count()), src["doc_id"] == lab["l_id"], "left").select("doc_id", "text", "label")
 
 
-# 2. seeds ----------------------------------------------------------------------------------------------------------
+# 2. seeds ----
 
 
-def wilson(k: np.ndarray, n: np.ndarray, z: float = Z) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of a share k / n."""
-    n = np.maximum(n, 1e-9)
+def wilson(k: Column, n: Column, sign: int, z: float = Z) -> Column:
+    """Lower (sign -1) or upper (sign 1) bound of a share k / n."""
     p = k / n
-    mid, half = p + z * z / (2 * n), z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return (mid - half) / (1 + z * z / n), (mid + half) / (1 + z * z / n)
+    return (p + z * z / (2 * n) + sign * z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_text.word_hash(b.column(0)).view(np.int64)), *b.columns], ["h", *b.schema.names])
 
-# 3. word graph -----------------------------------------------------------------------------------------------------
 
+def vocabulary(both: DataFrame) -> tuple[DataFrame, int]:
+    """(h, word, n, seed_t, seed_c, denied) of every word, a written table, and the number of all words.
 
-@dataclass(frozen=True)
-class Nodes:
-    hash: np.ndarray  # ascending
-    n: np.ndarray  # occurrences
-    total: int  # of all words
+    seed_t and seed_c: labelled documents with the word are toxic, or clean, in their majority with confidence; denied: most of them are clean.
+    """
+    k, n = F.col("toxic"), F.greatest(F.col("toxic") + F.col("clean"), F.lit(1))
+    words = materialise(word_stats(both).select("word", "n", "toxic", "clean").mapInArrow(_hashed, "h long, word string, n long, toxic long, clean long"))
+    total = words.where("word = ''").agg(F.sum("n")).first()[0] or 0
+    seen = F.col("toxic") + F.col("clean") > 0
+    return words.where("word <> ''").select("h", "word", "n", (seen & (wilson(k, n, -1) > 0.5)).alias("seed_t"), (seen & (wilson(k, n, 1) < 0.5)).alias("seed_c"), (F.col("toxic") < F.col("clean")).alias("denied")), total
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """Node of each word hash, -1 for none."""
-        return pd.Index(self.hash).get_indexer(h)
 
+# 3. word graph ----
 
-def _pairs(nodes, bins: int, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = nodes.value
-        index, size = pd.Index(g.hash), np.uint64(max(1, len(g.hash)))
-        width = -(-len(g.hash) // bins)
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            keys, n = count_sorted(np.concatenate(held))
-            held.clear()
-            cut = np.searchsorted(keys, np.arange(bins + 1, dtype=np.uint64) * np.uint64(width) * size)
-            rows = [(i, pack_sorted(keys[a:b]), pack(narrow(n[a:b]))) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bin", "keys", "n"])
 
+def _pairs(marks, window: int, both: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(i, j, n): how often words i and j are within the window; both marked (i < j), or one of them, which is i then."""
+        bits = marks.value
         for b in batches:
-            for lo, hi in _text.slices(b.column(0), 1 << 21):
+            for lo, hi in _text.slices(b.column(0), 1 << 22):
                 w = _text.words(b.column(0).slice(lo, hi - lo))
-                at = index.get_indexer(w.hash)
+                code, word = pd.factorize(w.hash)
+                mark = ((bits[(word & np.uint64(len(bits) - 1)).astype(np.int64)] >> ((word >> np.uint64(20)) & np.uint64(63))) & np.uint64(1)).astype(bool)
+                here = mark[code]
+                keys = []
                 for d in range(1, window + 1):
-                    x, y = at[:-d], at[d:]
-                    ok = (x >= 0) & (y >= 0) & (x != y) & (w.doc[:-d] == w.doc[d:])
-                    x, y = x[ok].astype(np.uint64), y[ok].astype(np.uint64)
-                    a, z = np.minimum(x, y), np.maximum(x, y)
-                    swap = ((a + z) & np.uint64(1)).astype(bool)  # either end may come first, so that bins are even
-                    held.append(np.where(swap, z, a) * size + np.where(swap, a, z))
-                if sum(map(len, held)) > _FLUSH:
-                    yield flush()
-        if sum(map(len, held)):
-            yield flush()
+                    ok = (here[:-d] & here[d:] if both else here[:-d] | here[d:]) & (w.doc[:-d] == w.doc[d:]) & (code[:-d] != code[d:])
+                    x, y = code[:-d][ok].astype(np.uint64), code[d:][ok].astype(np.uint64)
+                    if both:
+                        less = word[x.astype(np.int64)].view(np.int64) < word[y.astype(np.int64)].view(np.int64)
+                        keys.append(np.where(less, x << np.uint64(32) | y, y << np.uint64(32) | x))
+                    else:
+                        for p, q in ((x, y), (y, x)):
+                            of = mark[p.astype(np.int64)]
+                            keys.append(p[of] << np.uint64(32) | q[of])
+                key, n = count_sorted(np.concatenate(keys))
+                if len(key):
+                    i, j = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(word[i].view(np.int64)), pa.array(word[j].view(np.int64)), pa.array(n.astype(np.int64))], ["i", "j", "n"])
 
     return run
 
 
-def ppmi(c: np.ndarray, ni: np.ndarray, nj: np.ndarray, total: int, window: int, min_g2: float) -> np.ndarray:
-    """Weight of pairs seen c times: log of observed over expected where positive and significant, else 0."""
-    expected = 2.0 * window * ni * nj / total
-    w = np.log(c / expected)
-    g2 = 2 * (c * w - (c - expected))
-    return np.where((w > 0) & (g2 >= min_g2), w, 0.0)
+def _weighed(docs: DataFrame, marked: DataFrame, others: DataFrame, total: int, window: int, min_g2: float, both: bool) -> DataFrame:
+    """(i, j, w) of significant pairs of a marked word i and a word j of others; (h, n) each. w: log of observed over expected count."""
+    sent = docs.sparkSession.sparkContext.broadcast(bit_map(marked, "h"))
+    pairs = docs.select("text").mapInArrow(_pairs(sent, window, both), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("c"))
+    ends = [(marked, "i", "ni"), (others, "j", "nj")]
+    for words, end, n in ends:
+        pairs = pairs.join(small(words.select(F.col("h").alias(end), F.col("n").alias(n))), end)
+    c, e = F.col("c"), 2.0 * window * F.col("ni") * F.col("nj") / F.lit(float(total))
+    w = F.log(c / e)
+    return pairs.select("i", "j", w.alias("w"), (2 * (c * w - (c - e))).alias("g2")).where((F.col("w") > 0) & (F.col("g2") >= min_g2)).select("i", "j", "w")
 
 
-def _edges(nodes, bins: int, window: int, min_g2: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by bin: sums the counts of each pair, weighs it and sends it to the bins of both its ends."""
-        g = nodes.value
-        size = np.uint64(max(1, len(g.hash)))
-        width = -(-len(g.hash) // bins)
-
-        def weigh(keys: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
-            k, c = count_sorted(np.concatenate(keys), np.concatenate(n).astype(np.int64))
-            i, j = (k // size).astype(np.int64), (k % size).astype(np.int64)
-            w = ppmi(c.astype(float), g.n[i], g.n[j], g.total, window, min_g2)
-            ok = w > 0
-            i, j, w = np.append(i[ok], j[ok]), np.append(j[ok], i[ok]), np.append(w[ok], w[ok])
-            order = np.lexsort((j, i))
-            i, j, w = i[order], j[order], w[order]
-            cut = np.searchsorted(i, np.arange(bins + 1) * width)
-            rows = [(b, pack(i[x:z].astype(np.int32)), pack(j[x:z].astype(np.int32)), pack(w[x:z])) for b, (x, z) in enumerate(zip(cut[:-1], cut[1:])) if x < z]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3)]], ["bin", "i", "j", "w"])
-
-        now, keys, counts = None, [], []
-        for b in batches:
-            for at, k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if at != now and keys:
-                    yield weigh(keys, counts)
-                    keys, counts = [], []
-                now = at
-                keys.append(unpack_sorted(k))
-                counts.append(unpack(n))
-        if keys:
-            yield weigh(keys, counts)
-
-    return run
-
+def word_graph(docs: DataFrame, words: DataFrame, total: int, window: int = WINDOW, min_g2: float = MIN_G2) -> tuple[DataFrame, DataFrame]:
+    """Nodes (h, n, seed_t, seed_c) and edges (i, j, w) in both directions: written tables."""
+    seeds = materialise(words.where("seed_t").select("h", "n"))
+    beside = _weighed(docs, seeds, words.select("h", "n"), total, window, min_g2, both=False).select(F.col("j").alias("h"))
+    at = beside.unionByName(seeds.select("h")).distinct()
+    nodes = materialise(words.select("h", "n", "seed_t", "seed_c").join(at, "h", "left_semi"))
+    half = _weighed(docs, nodes, nodes, total, window, min_g2, both=True)
+    return nodes, materialise(half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")))
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each bin from rows sorted by bin."""
 
-    def join(at: int, rows: list) -> pa.RecordBatch:
-        i, j, w = (np.concatenate([unpack(r[k]) for r in rows]) for k in range(3))
-        order = np.lexsort((j, i))
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *[pa.array([pack(x[order])]) for x in (i, j, w)]], ["bin", "i", "j", "w"])
-
-    now, held = None, []
-    for b in batches:
-        for at, *row in zip(*(b.column(k).to_pylist() for k in range(4))):
-            if at != now and held:
-                yield join(now, held)
-                held = []
-            now = at
-            held.append(row)
-    if held:
-        yield join(now, held)
-
-
-def word_graph(docs: DataFrame, nodes: Nodes, window: int = WINDOW, min_g2: float = MIN_G2) -> DataFrame:
-    """(bin, i, j, w): edges in both directions, packed, every node's edges in the bin of the node; a written table."""
-    spark = docs.sparkSession
-    n = buckets(spark)
-    bins = min(4 * n, max(1, len(nodes.hash)))
-    sent = spark.sparkContext.broadcast(nodes)  # 16 bytes for each word of the corpus
-    counted = docs.select("text").mapInArrow(_pairs(sent, bins, window), "bin int, keys binary, n binary").repartition(n, "bin").sortWithinPartitions("bin")
-    edges = counted.mapInArrow(_edges(sent, bins, window, min_g2), "bin int, i binary, j binary, w binary")
-    return materialise(edges.repartition(n, "bin").sortWithinPartitions("bin").mapInArrow(_merge, "bin int, i binary, j binary, w binary"))
+# 4. random walks ----
 
 
-# 4. random walks ---------------------------------------------------------------------------------------------------
-
-
-def _step(vector):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each packed row the sums over its edges: rows i, and sum of w * x[j] for each column x."""
-        x = vector.value
-        for b in batches:
-            for i, j, w in zip(*(b.column(k).to_pylist() for k in range(3))):
-                i, j, w = unpack(i), unpack(j), unpack(w)
-                at, _ = count_sorted(i)
-                sums = [np.add.reduceat(w * x[k][j], np.searchsorted(i, at)) for k in range(len(x))]
-                yield pa.RecordBatch.from_arrays([pa.array([pack(at)]), pa.array([pack(np.concatenate(sums))])], ["at", "y"])
-
-    return run
-
-
-def _times(edges: DataFrame, x: np.ndarray) -> np.ndarray:
-    """The graph's matrix times each row of x."""
-    sent = edges.sparkSession.sparkContext.broadcast(x)
-    y = np.zeros_like(x)
-    for r in edges.select("i", "j", "w").mapInArrow(_step(sent), "at binary, y binary").toLocalIterator():
-        at = unpack(r["at"])
-        for k, part in enumerate(np.split(unpack(r["y"]), len(x))):
-            y[k][at] += part
-    sent.destroy()
-    return y
-
-
-def polarity(edges: DataFrame, seeds: np.ndarray, restart: float = RESTART, steps: int = STEPS) -> np.ndarray:
-    """seeds: two rows of 0/1 over the nodes, toxic and clean; for each node (t - c) / (t + c + 1 / nodes) of the two walks' probabilities.
+def polarity(nodes: DataFrame, edges: DataFrame, restart: float = RESTART, steps: int = STEPS) -> DataFrame:
+    """(h, value): (t - c) / (t + c + 1 / nodes) of the two walks' probabilities, to 6 places.
 
     The last term is an even walk's probability: a node that the walks hardly reach has a polarity near 0.
     """
-    seeds = seeds.astype(float)
-    start = seeds / np.maximum(seeds.sum(axis=1, keepdims=True), 1)
-    degree = _times(edges, np.ones((1, seeds.shape[1])))[0]
-    p = start
+    size, toxic, clean = nodes.agg(F.count("*"), F.sum(F.col("seed_t").cast("long")), F.sum(F.col("seed_c").cast("long"))).first()
+    start = nodes.select("h", (F.col("seed_t").cast("double") / max(1, toxic or 0)).alias("t0"), (F.col("seed_c").cast("double") / max(1, clean or 0)).alias("c0"))
+    degree = edges.groupBy("j").agg(F.sum("w").alias("d"))
+    moves = materialise(edges.join(small(degree, size), "j").select("i", "j", (F.col("w") / F.col("d")).alias("a")))
+    p = start.select("h", F.col("t0").alias("t"), F.col("c0").alias("c"))
     for _ in range(steps):
-        p = restart * start + (1 - restart) * _times(edges, p / np.maximum(degree, 1e-300))
-    return (p[0] - p[1]) / (p[0] + p[1] + 1 / max(1, p.shape[1]))
+        came = moves.join(small(p, size), F.col("j") == F.col("h")).groupBy("i").agg(F.sum(F.col("a") * F.col("t")).alias("ti"), F.sum(F.col("a") * F.col("c")).alias("ci"))
+        p = start.join(small(came, size), F.col("h") == F.col("i"), "left").select("h", *[(restart * F.col(f"{x}0") + (1 - restart) * F.coalesce(F.col(f"{x}i"), F.lit(0.0))).alias(x) for x in "tc"])
+    return p.select("h", F.round((F.col("t") - F.col("c")) / (F.col("t") + F.col("c") + 1 / max(1, size)), 6).alias("value"))
 
 
-# 5. documents ------------------------------------------------------------------------------------------------------
+# 5. documents ----
 
 
 @dataclass(frozen=True)
@@ -298,20 +222,20 @@ def llr(lex: Lexicon, n: np.ndarray, hits: np.ndarray) -> np.ndarray:
     return np.round(hits * math.log(lex.toxic_rate / lex.clean_rate) - n * (lex.toxic_rate - lex.clean_rate), 6) if lex.clean_rate > 0 else np.zeros(len(n))
 
 
-def _score(lexicon, keep_text: bool):
+def _score(lexicon, text_col: str, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         for b in batches:
-            k = b.schema.get_field_index("__text")
+            k = b.schema.get_field_index(text_col)
             for lo, hi in _text.slices(b.column(k)):
                 part = b.slice(lo, hi - lo)
                 n, hits = _hits(lex, part.column(k))
                 score = llr(lex, n, hits)
                 toxic = score >= lex.threshold
                 if keep_text:
-                    yield part.filter(pa.array(~toxic)).drop_columns("__text")
+                    yield part.filter(pa.array(~toxic))
                 else:
-                    yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(part.columns) if i != k], pa.array(n.astype(np.int64)), pa.array(hits), pa.array(score), pa.array(toxic)], [*[x for x in b.schema.names if x != "__text"], "n_words", "hits", "score", "toxic"])
+                    yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(part.columns) if i != k], pa.array(n.astype(np.int64)), pa.array(hits), pa.array(score), pa.array(toxic)], [*[x for x in b.schema.names if x != text_col], "n_words", "hits", "score", "toxic"])
 
     return run
 
@@ -336,53 +260,46 @@ def fit(lex: Lexicon, n: np.ndarray, hits: np.ndarray, label: np.ndarray) -> Lex
     return Lexicon(lex.word, lex.hash, lex.weight, hot, cold, float((s[order][best] + max(below, 0.0)) / 2 if below > 0 or s[order][best] > 0 else s[order][best]))
 
 
-def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float = MAX_SHARE, window: int = WINDOW, min_g2: float = MIN_G2, min_polarity: float = MIN_POLARITY, fit_rows: int = FIT_ROWS) -> Lexicon:
+def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_g2: float = MIN_G2, min_polarity: float = MIN_POLARITY, fit_rows: int = FIT_ROWS) -> Lexicon:
     """The fitted lexicon. Without documents, labels or toxic words it is empty and rejects nothing."""
     spark = docs.sparkSession
-    both = with_labels(docs, labels, id_col, text_col)
-    n_docs = docs.count()
-    vocab = word_stats(both).toArrow().combine_chunks()
-    names, counts = vocab["word"].combine_chunks(), np.stack([vocab[c].to_numpy() for c in ("n", "df", "toxic", "clean")])
-    total = counts[0][pc.equal(names, "").to_numpy(zero_copy_only=False)].sum()
-    h = np.concatenate([np.zeros(0, np.uint64), *[_text.word_hash(names.slice(lo, hi - lo)) for lo, hi in _text.slices(names)]])
-    h, first = np.unique(h, return_index=True)
-    first, h = first[ok := pc.not_equal(names.take(pa.array(first)), "").to_numpy(zero_copy_only=False)], h[ok]
-    names, counts = names.take(pa.array(first)), counts[:, first]
-    k, n = counts[2].astype(float), (counts[2] + counts[3]).astype(float)
-    low, high = wilson(k, n)
-    toxic = (low > 0.5) & (n > 0)
-    clean = (high < 0.5) & (n > 0)
-    denied = (k < 0.5 * n)  # the labels speak against it, whatever its neighbours are
-    node = toxic | (counts[1] <= max_share * n_docs)
-    names, toxic, clean, denied = names.filter(pa.array(node)), toxic[node], clean[node], denied[node]
     nothing = Lexicon([], np.zeros(0, np.uint64), np.zeros(0))
-    if not toxic.any():
+    both = with_labels(docs, labels, id_col, text_col)
+    words, total = vocabulary(both)
+    if words.where("seed_t").isEmpty():
         return nothing
-    nodes = Nodes(h[node], counts[0][node].astype(float), int(total))
-    value = polarity(word_graph(both, nodes, window, min_g2), np.stack([toxic, clean]))
-    pick = (value >= min_polarity) & ~denied
-    lex = Lexicon(names.filter(pa.array(pick)).to_pylist(), nodes.hash[pick], np.round(value[pick], 6))
+    nodes, edges = word_graph(both, words, total, window, min_g2)
+    least = F.lit(min_polarity)
+    rows = words.where("not denied").select("h", "word", "seed_t").join(small(polarity(nodes, edges), nodes.count()), "h").where(F.col("seed_t") | (F.col("value") >= least))
+    rows = rows.select("h", "word", F.greatest("value", least).alias("value")).toPandas().sort_values("h")  # the lexicon alone
+    discard(edges)
+    lex = Lexicon(rows["word"].tolist(), rows["h"].to_numpy(np.int64).view(np.uint64), rows["value"].to_numpy(float))
     sent = spark.sparkContext.broadcast(lex)
     share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003))
     lab = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     sample = lab.orderBy(share, "doc_id").limit(fit_rows).select(F.col("doc_id").alias("l_id"), "label")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("label", "__text")  # at most fit_rows
-    got = rows.mapInArrow(_score(sent, False), "label int, n_words long, hits double, score double, toxic boolean").select("label", "n_words", "hits").toPandas()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("label", "text")  # at most fit_rows
+    got = rows.mapInArrow(_score(sent, "text", False), "label int, n_words long, hits double, score double, toxic boolean").groupBy("label", "n_words", "hits").count().toPandas()
+    got = got.loc[got.index.repeat(got["count"])].sort_values(["label", "n_words", "hits"])
     return fit(lex, got["n_words"].to_numpy(), got["hits"].to_numpy(), got["label"].to_numpy())
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """(doc_id, n_words, hits, score, toxic) of every row.
 
-    Null, empty and wordless texts score 0 and are not toxic. Null ids can't be labelled but are scored; repeated rows
-    are scored alike. labels needs doc_id and toxic (0, 1; other values and nulls are no label; a document labelled both ways is
-    toxic). Other columns of either table are not read. Empty tables: nothing is toxic.
+    Null, empty and wordless texts score 0 and are not toxic; a score equal to the threshold is toxic. Null ids can't be labelled but are
+    scored; repeated rows are scored alike; long texts are scored whole. labels needs doc_id and toxic (0, 1; other values and nulls are no label; a
+    document labelled both ways is toxic). Other columns of either table are not read. Empty tables: nothing is toxic.
     """
     lex = docs.sparkSession.sparkContext.broadcast(induce(docs, labels, id_col, text_col, **params))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).mapInArrow(_score(lex, False), f"doc_id {dict(docs.dtypes)[id_col]}, n_words long, hits double, score double, toxic boolean")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(lex, "text", False), f"doc_id {dict(docs.dtypes)[id_col]}, n_words long, hits double, score double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The documents that are not toxic, with all their columns."""
+    """The documents that are not toxic, with all their columns, whatever their names.
+
+    Kept are all rows whose text is null, empty or without words, and everything where labels has no toxic document. Repeated rows are
+    kept or dropped together. An empty table gives an empty result.
+    """
     lex = docs.sparkSession.sparkContext.broadcast(induce(docs, labels, id_col, text_col, **params))
-    return docs.withColumn("__text", F.col(text_col)).mapInArrow(_score(lex, True), docs.schema)
+    return docs.mapInArrow(_score(lex, text_col, True), docs.schema)

@@ -241,37 +241,76 @@ def test_rare_toxic_word_stays_found(spark):
         assert {r.doc_id for r in toxicity.score_documents(docs, lab).where("toxic").collect()} == set(range(8))
 
 
+def signed(h):
+    return np.asarray(h, np.uint64).view(np.int64).tolist()
+
+
 def test_graph_and_walk(spark):
-    out, _ = toxic_corpus(random.Random(2), 120)
-    df = spark.createDataFrame(out, "doc_id long, text string")
-    n = Counter(w for _, t in out for w in words(t))
-    names = sorted((w for w in n if n[w] > 3), key=lambda w: int(_text.word_hash([w])[0]))
-    nodes = toxicity.Nodes(_text.word_hash(names), np.array([n[w] for w in names], float), sum(n.values()))
-    at = {w: i for i, w in enumerate(names)}
+    """Seeds, nodes, edges, walks and polarity against dense matrices."""
+    out, labels = toxic_corpus(random.Random(2), 240)
+    df = spark.createDataFrame([(i, t, y) for (i, t), (_, y) in zip(out, labels)], "doc_id long, text string, label int").repartition(3)
+    n, k, m = Counter(), Counter(), Counter()
+    for (_, t), (_, y) in zip(out, labels):
+        n.update(words(t))
+        m.update(set(words(t)))
+        k.update(set(words(t)) if y else ())
+    z = toxicity.Z
+
+    def bound(w, sign):
+        q = k[w] / m[w]
+        return (q + z * z / (2 * m[w]) + sign * z * math.sqrt(q * (1 - q) / m[w] + z * z / (4 * m[w] ** 2))) / (1 + z * z / m[w])
+
+    vocab, total = toxicity.vocabulary(df)
+    assert total == sum(n.values())
+    got = {r.word: (r.n, r.seed_t, r.seed_c, r.denied) for r in vocab.collect()}
+    assert got == {w: (n[w], bound(w, -1) > 0.5, bound(w, 1) < 0.5, 2 * k[w] < m[w]) for w in n}
+    toxic = {w for w in n if got[w][1]}
+    assert toxic == {"vile", "scumbag", "wretch", "vermin"}
     c = Counter()
     for _, t in out:
         ws = words(t)
         for i in range(len(ws)):
             for d in (1, 2, 3):
-                if i + d < len(ws) and ws[i] in at and ws[i + d] in at and ws[i] != ws[i + d]:
-                    c[frozenset((at[ws[i]], at[ws[i + d]]))] += 1
-    m = np.zeros((len(names),) * 2)
-    for pair, k in c.items():
-        i, j = pair
-        e = 2 * 3 * nodes.n[i] * nodes.n[j] / nodes.total
-        w = math.log(k / e)
-        if w > 0 and 2 * (k * w - (k - e)) >= 3.84:
-            m[i, j] = m[j, i] = w
-    edges = toxicity.word_graph(df, nodes, 3, 3.84)
-    x = np.random.default_rng(0).random((2, len(names)))
-    assert np.allclose(toxicity._times(edges, x), x @ m)
-    seeds = np.zeros((2, len(names)))
-    seeds[0, :3], seeds[1, 3:20] = 1, 1
-    start = seeds / seeds.sum(axis=1, keepdims=True)
+                if i + d < len(ws) and ws[i] != ws[i + d]:
+                    c[frozenset((ws[i], ws[i + d]))] += 1
+    weight = {}
+    for pair, q in c.items():
+        x, y = pair
+        e = 2 * 3 * n[x] * n[y] / total
+        if math.log(q / e) > 0 and 2 * (q * math.log(q / e) - (q - e)) >= 3.84:
+            weight[pair] = math.log(q / e)
+    at = sorted(toxic | {w for pair in weight if pair & toxic for w in pair})
+    nodes, edges = toxicity.word_graph(df, vocab, total, 3, 3.84)
+    h = dict(zip(at, signed(_text.word_hash(at))))
+    assert {r.h: (r.n, r.seed_t, r.seed_c) for r in nodes.collect()} == {h[w]: got[w][:3] for w in at} and len(at) > 8
+    want = {(h[x], h[y]): v for x in at for y in at if (v := weight.get(frozenset((x, y))))}
+    have = {(r.i, r.j): r.w for r in edges.collect()}
+    assert have.keys() == want.keys() and all(have[e] == pytest.approx(want[e]) for e in want)
+    a = np.array([[want.get((h[x], h[y]), 0.0) for y in at] for x in at])
+    start = np.array([[float(got[w][j]) for w in at] for j in (1, 2)])
+    start /= np.maximum(start.sum(axis=1, keepdims=True), 1)
     p = start
     for _ in range(toxicity.STEPS):
-        p = 0.5 * start + 0.5 * (p / np.maximum(m.sum(axis=0), 1e-300)) @ m
-    assert np.allclose(toxicity.polarity(edges, seeds), (p[0] - p[1]) / (p[0] + p[1] + 1 / len(names)))
+        p = 0.5 * start + 0.5 * (p / np.maximum(a.sum(axis=0), 1e-300)) @ a.T
+    value = dict(zip(at, (p[0] - p[1]) / (p[0] + p[1] + 1 / len(at))))
+    assert {r.h: r.value for r in toxicity.polarity(nodes, edges).collect()} == pytest.approx({h[w]: value[w] for w in at}, abs=2e-6)
+
+
+def test_corpus_ten_times_over_has_the_same_lexicon(spark):
+    """No word is cut by a share of the corpus: clean documents besides, in any number, leave the lexicon's seeds as they are."""
+    out, labels = toxic_corpus(random.Random(3), 300)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    one = toxicity.induce(spark.createDataFrame(out, "doc_id long, text string"), lab)
+    ten = toxicity.induce(spark.createDataFrame(out + [(1000 + 300 * r + i, t) for r in range(9) for i, t in out], "doc_id long, text string"), lab)
+    assert {"vile", "scumbag", "wretch", "vermin"} <= set(one.word) <= set(ten.word)
+
+
+def test_threshold_takes_equal_scores_together():
+    lex = toxicity.Lexicon(["x"], _text.word_hash(["x"]), np.ones(1))
+    n, hits, label = np.array([10] * 6), np.array([2.0, 2.0, 2.0, 0.0, 0.0, 0.0]), np.array([1, 1, 0, 0, 0, 0])
+    got = toxicity.fit(lex, n, hits, label)
+    assert (toxicity.llr(got, n, hits) >= got.threshold).tolist() == [True, True, True, False, False, False]
+    assert toxicity.fit(lex, n, hits * 0, label).threshold == math.inf
 
 
 # ---- 4 Katz
