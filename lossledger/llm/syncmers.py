@@ -16,32 +16,40 @@ from pyspark.sql import functions as F
 
 from . import _text
 
-K = 64
-S = 16
-_P = (1 << 31) - 1
-_BASE = 65599
+#: Every passage of 2 K - S - 1 = 51 characters has an anchor.
+K = 32
+S = 12
+#: Two primes, each with a base: the first orders the inner substrings, both together are the hash of a k-mer.
+PRIMES = ((1 << 31) - 1, 65599), ((1 << 31) - 19, 69069)
 _A, _B = 1103515245, 12345
-_POW: list[np.ndarray] = []
+_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**j and BASE**-j modulo P."""
-    if not _POW or len(_POW[0]) < n:
+def _powers(n: int, p: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**j and base**-j modulo p."""
+    if p not in _POW or len(_POW[p][0]) < n:
         size = max(n, 1 << 21)
         out = []
-        for base in (_BASE, pow(_BASE, -1, _P)):
+        for b in (base, pow(base, -1, p)):
             a = np.ones(1, np.uint64)
-            while len(a) < size:  # doubling: a * base**len(a)
-                a = np.concatenate([a, a * np.uint64(pow(base, len(a), _P)) % np.uint64(_P)])
+            while len(a) < size:  # doubling: a * b**len(a)
+                a = np.concatenate([a, a * np.uint64(pow(b, len(a), p)) % np.uint64(p)])
             out.append(a[:size])
-        _POW[:] = out
-    return _POW[0][:n], _POW[1][:n]
+        _POW[p] = out[0], out[1]
+    return _POW[p][0][:n], _POW[p][1][:n]
 
 
-def _span_hash(sums: np.ndarray, inverse: np.ndarray, width: int) -> np.ndarray:
-    """Scrambled polynomial hash of every run of width characters."""
-    h = (sums[width:] - sums[:-width]) % np.uint64(_P) * inverse[: len(sums) - width] % np.uint64(_P)
-    return (h * np.uint64(_A) + np.uint64(_B)) % np.uint64(_P)
+def _sums(code: np.ndarray, p: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    power, inverse = _powers(len(code) + 1, p, base)
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(code * power[: len(code)] % np.uint64(p), out=sums[1:])
+    return sums, inverse
+
+
+def _spans(sums: np.ndarray, inverse: np.ndarray, at: np.ndarray | slice, end: np.ndarray | slice, p: int) -> np.ndarray:
+    """Scrambled polynomial hashes of the characters from at to end."""
+    h = (sums[end] - sums[at]) % np.uint64(p) * inverse[at] % np.uint64(p)
+    return (h * np.uint64(_A) + np.uint64(_B)) % np.uint64(p)
 
 
 def closed_syncmers(texts: pa.Array, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,10 +62,8 @@ def closed_syncmers(texts: pa.Array, k: int = K, s: int = S) -> tuple[np.ndarray
     np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), out=off[1:])
     if n < k:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    power, inverse = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(code * power[:n] % np.uint64(_P), out=sums[1:])
-    h = _span_hash(sums, inverse, s).astype(np.uint32)
+    sums, inverse = _sums(code, *PRIMES[0])
+    h = _spans(sums, inverse, slice(0, n + 1 - s), slice(s, n + 1), PRIMES[0][0]).astype(np.uint32)
     w = k - s + 1
     low, width = h, 1
     while width < w:  # minimum over w places by doubling
@@ -70,8 +76,8 @@ def closed_syncmers(texts: pa.Array, k: int = K, s: int = S) -> tuple[np.ndarray
     row = np.searchsorted(off, at, "right") - 1
     inside = at + k <= off[row + 1]
     at, row = at[inside], row[inside]
-    hk = (sums[at + k] - sums[at]) % np.uint64(_P) * inverse[at] % np.uint64(_P)
-    return row, at - off[row], (hk * np.uint64(_A) + np.uint64(_B)) % np.uint64(_P)
+    one, two = _spans(sums, inverse, at, at + k, PRIMES[0][0]), _spans(*_sums(code, *PRIMES[1]), at, at + k, PRIMES[1][0])
+    return row, at - off[row], one << np.uint64(31) | two
 
 
 def _run(k: int, s: int):
@@ -93,22 +99,25 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, id_col: str = "doc_id"
     """(doc_id, positions, hashes): the anchors of each document in order, positions counted in characters from 0.
 
     Every row gives a row, repeated and null ids included; texts shorter than k, empty and null texts have empty lists.
-    Equal inner hashes are ties: a k-mer whose edge hash equals the least is chosen. Hashes are below 2**31. No shuffle, and
-    no column besides the two is read.
+    Equal inner hashes are ties: a k-mer whose edge hash equals the least is chosen. Hashes are below 2**62, so that
+    unrelated k-mers hardly ever share one. Long texts are read whole. No shuffle, and no column besides the two is read.
     """
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_run(k, s), f"doc_id {dict(docs.dtypes)[id_col]}, positions array<int>, hashes array<bigint>")
 
 
 def _sql() -> str:
-    term = lambda width, at: f"list_sum(list_transform(range({width}), lambda j: (c[{at} + j + 1] * pw[j + 1])::HUGEINT)) % {_P}"
-    pows = [pow(_BASE, j, _P) for j in range(K)]
+    def term(width: int, at: str, k: int) -> str:
+        p, _ = PRIMES[k]
+        return f"((list_sum(list_transform(range({width}), lambda j: (c[{at} + j + 1] * pw{k}[j + 1])::HUGEINT)) % {p}) * {_A} + {_B}) % {p}"
+
+    pows = ", ".join(f"{[pow(base, j, p) for j in range(K)]}::BIGINT[] AS pw{k}" for k, (p, base) in enumerate(PRIMES))
     return f"""
-WITH t AS (SELECT doc_id, list_transform(string_split(text, ''), lambda x: unicode(x)::BIGINT) AS c, {pows}::BIGINT[] AS pw FROM documents),
-i AS (SELECT doc_id, c, pw, unnest(range(greatest(len(c) - {S} + 1, 0))) AS i FROM t),
-h AS (SELECT doc_id, i, len(c) AS n, ({term(S, "i")} * {_A} + {_B}) % {_P} AS h FROM i),
+WITH t AS (SELECT doc_id, list_transform(string_split(text, ''), lambda x: unicode(x)::BIGINT) AS c, {pows} FROM documents),
+i AS (SELECT doc_id, c, pw0, unnest(range(greatest(len(c) - {S} + 1, 0))) AS i FROM t),
+h AS (SELECT doc_id, i, len(c) AS n, {term(S, "i", 0)} AS h FROM i),
 m AS (SELECT doc_id, i, n, h, min(h) OVER o AS low, last_value(h) OVER o AS z FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {K - S} FOLLOWING)),
 p AS (SELECT doc_id, i FROM m WHERE i + {K} <= n AND (h = low OR z = low)),
-q AS (SELECT p.doc_id, i, (({term(K, "i")} * {_A} + {_B}) % {_P})::BIGINT AS hk FROM p JOIN t USING (doc_id)),
+q AS (SELECT p.doc_id, i, ({term(K, "i", 0)} * 2147483648 + {term(K, "i", 1)})::BIGINT AS hk FROM p JOIN t USING (doc_id)),
 g AS (SELECT doc_id, list(i::INTEGER ORDER BY i) AS positions, list(hk ORDER BY i) AS hashes FROM q GROUP BY 1)
 SELECT d.doc_id, coalesce(array_to_string(g.positions, ','), '') AS positions, coalesce(array_to_string(g.hashes, ','), '') AS hashes FROM documents d LEFT JOIN g USING (doc_id)
 """
