@@ -11,7 +11,7 @@
    rates and threshold are fitted on a bounded sample of labelled documents (FIT_ROWS).
 
 Words, pairs, edges and walks are tables, keyed by 64-bit word hashes. What goes to every task is a bit map of fixed size that marks
-the nodes (joins with the table of nodes undo its false hits), and the lexicon.
+seeds (joins with the table of seeds undo its false hits), the numbers of the nodes (a bit map instead, where they are many), and the lexicon.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._blob import count_sorted
-from ._tables import bit_map, discard, materialise, small
+from ._blob import count_sorted, narrow, pack, pack_sorted, unpack, unpack_sorted
+from ._tables import BROADCAST_ROWS, bit_map, buckets, discard, materialise, small
 
 WINDOW = 3
 Z = 2.58
@@ -38,6 +38,8 @@ STEPS = 6
 MIN_POLARITY = 0.5
 #: Labelled rows, at most, on which rates and threshold are fitted.
 FIT_ROWS = 20_000
+#: Pairs of nodes that a task counts at a time.
+_FLUSH = 2_500_000
 
 
 # 1. word statistics ----
@@ -128,27 +130,23 @@ def vocabulary(both: DataFrame) -> tuple[DataFrame, int]:
 # 3. word graph ----
 
 
-def _pairs(marks, window: int, both: bool):
+def _beside(marks, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(i, j, n): how often words i and j are within the window; both marked (i < j), or one of them, which is i then."""
+        """(i, j, n): how often a marked word i is within the window of another word j."""
         bits = marks.value
         for b in batches:
             for lo, hi in _text.slices(b.column(0), 1 << 22):
                 w = _text.words(b.column(0).slice(lo, hi - lo))
                 code, word = pd.factorize(w.hash)
                 mark = ((bits[(word & np.uint64(len(bits) - 1)).astype(np.int64)] >> ((word >> np.uint64(20)) & np.uint64(63))) & np.uint64(1)).astype(bool)
-                here = mark[code]
+                at = np.flatnonzero(mark[code])
                 keys = []
-                for d in range(1, window + 1):
-                    ok = (here[:-d] & here[d:] if both else here[:-d] | here[d:]) & (w.doc[:-d] == w.doc[d:]) & (code[:-d] != code[d:])
-                    x, y = code[:-d][ok].astype(np.uint64), code[d:][ok].astype(np.uint64)
-                    if both:
-                        less = word[x.astype(np.int64)].view(np.int64) < word[y.astype(np.int64)].view(np.int64)
-                        keys.append(np.where(less, x << np.uint64(32) | y, y << np.uint64(32) | x))
-                    else:
-                        for p, q in ((x, y), (y, x)):
-                            of = mark[p.astype(np.int64)]
-                            keys.append(p[of] << np.uint64(32) | q[of])
+                for d in (*range(-window, 0), *range(1, window + 1)):
+                    to = at + d
+                    ok = (to >= 0) & (to < len(code))
+                    x, to = at[ok], to[ok]
+                    ok = (w.doc[x] == w.doc[to]) & (code[x] != code[to])
+                    keys.append(code[x[ok]].astype(np.uint64) << np.uint64(32) | code[to[ok]].astype(np.uint64))
                 key, n = count_sorted(np.concatenate(keys))
                 if len(key):
                     i, j = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -157,26 +155,93 @@ def _pairs(marks, window: int, both: bool):
     return run
 
 
-def _weighed(docs: DataFrame, marked: DataFrame, others: DataFrame, total: int, window: int, min_g2: float, both: bool) -> DataFrame:
-    """(i, j, w) of significant pairs of a marked word i and a word j of others; (h, n) each. w: log of observed over expected count."""
-    sent = docs.sparkSession.sparkContext.broadcast(bit_map(marked, "h"))
-    pairs = docs.select("text").mapInArrow(_pairs(sent, window, both), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("c"))
-    ends = [(marked, "i", "ni"), (others, "j", "nj")]
-    for words, end, n in ends:
+def _packed(index_of, window: int, bins: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(bin, keys, n): packed pairs i < j of nodes (by number) within the window, and their counts in this flush."""
+        hashes = index_of.value
+        index = pd.Index(hashes)
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            key, n = count_sorted(np.concatenate(held))
+            held.clear()
+            where = (_text.mix(key) % np.uint64(bins)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            cut = np.searchsorted(where[order], np.arange(bins + 1))
+            rows = [(k, pack_sorted(key[order[a:z]]), pack(narrow(n[order[a:z]]))) for k, (a, z) in enumerate(zip(cut[:-1], cut[1:])) if a < z]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]], ["bin", "keys", "n"])
+
+        for b in batches:
+            for lo, hi in _text.slices(b.column(0), 1 << 21):
+                w = _text.words(b.column(0).slice(lo, hi - lo))
+                at = index.get_indexer(w.hash)
+                for d in range(1, window + 1):
+                    x, y = at[:-d], at[d:]
+                    ok = (x >= 0) & (y >= 0) & (x != y) & (w.doc[:-d] == w.doc[d:])
+                    x, y = x[ok].astype(np.uint64), y[ok].astype(np.uint64)
+                    held.append(np.minimum(x, y) << np.uint64(32) | np.maximum(x, y))
+                if sum(map(len, held)) > _FLUSH:
+                    yield flush()
+        if sum(map(len, held)):
+            yield flush()
+
+    return run
+
+
+def _summed(index_of):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(i, j, n) of pairs from rows sorted by bin; every pair is in one bin."""
+        hashes = index_of.value.view(np.int64)
+
+        def out(held: list) -> pa.RecordBatch:
+            key, n = count_sorted(np.concatenate([unpack_sorted(k) for k, _ in held]), np.concatenate([unpack(n) for _, n in held]).astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(hashes[(key >> np.uint64(32)).astype(np.int64)]), pa.array(hashes[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]), pa.array(n)], ["i", "j", "n"])
+
+        now, held = None, []
+        for b in batches:
+            for at, *row in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if at != now and held:
+                    yield out(held)
+                    held = []
+                now = at
+                held.append(row)
+        if held:
+            yield out(held)
+
+    return run
+
+
+def _weighed(pairs: DataFrame, first: DataFrame, second: DataFrame, total: int, window: int, min_g2: float) -> DataFrame:
+    """(i, j, w) of significant pairs (i, j, c) of a word of first and one of second; (h, n) each. w: log of observed over expected count."""
+    for words, end, n in ((first, "i", "ni"), (second, "j", "nj")):
         pairs = pairs.join(small(words.select(F.col("h").alias(end), F.col("n").alias(n))), end)
     c, e = F.col("c"), 2.0 * window * F.col("ni") * F.col("nj") / F.lit(float(total))
     w = F.log(c / e)
     return pairs.select("i", "j", w.alias("w"), (2 * (c * w - (c - e))).alias("g2")).where((F.col("w") > 0) & (F.col("g2") >= min_g2)).select("i", "j", "w")
 
 
-def word_graph(docs: DataFrame, words: DataFrame, total: int, window: int = WINDOW, min_g2: float = MIN_G2) -> tuple[DataFrame, DataFrame]:
+def node_pairs(docs: DataFrame, nodes: DataFrame, window: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(i, j, c) of all pairs of nodes within the window. Up to `most` nodes are numbered in every task and pairs sent packed; of more, pairs are rows."""
+    spark = docs.sparkSession
+    if nodes.count() <= most:
+        sent = spark.sparkContext.broadcast(np.sort(nodes.select("h").toArrow()["h"].to_numpy().view(np.uint64)))
+        n = buckets(spark)
+        packed = docs.select("text").mapInArrow(_packed(sent, window, 4 * n), "bin int, keys binary, n binary").repartition(n, "bin").sortWithinPartitions("bin")
+        return packed.mapInArrow(_summed(sent), "i long, j long, c long")
+    rows = docs.select("text").mapInArrow(_beside(spark.sparkContext.broadcast(bit_map(nodes, "h")), window), "i long, j long, n long").where("i < j")
+    return rows.groupBy("i", "j").agg(F.sum("n").alias("c"))
+
+
+def word_graph(docs: DataFrame, words: DataFrame, total: int, window: int = WINDOW, min_g2: float = MIN_G2, most: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Nodes (h, n, seed_t, seed_c) and edges (i, j, w) in both directions: written tables."""
     seeds = materialise(words.where("seed_t").select("h", "n"))
-    beside = _weighed(docs, seeds, words.select("h", "n"), total, window, min_g2, both=False).select(F.col("j").alias("h"))
-    at = beside.unionByName(seeds.select("h")).distinct()
-    nodes = materialise(words.select("h", "n", "seed_t", "seed_c").join(at, "h", "left_semi"))
-    half = _weighed(docs, nodes, nodes, total, window, min_g2, both=True)
-    return nodes, materialise(half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_map(seeds, "h"))
+    near = docs.select("text").mapInArrow(_beside(sent, window), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("c"))
+    beside = _weighed(near, seeds, words.select("h", "n"), total, window, min_g2).select(F.col("j").alias("h"))
+    at = materialise(beside.unionByName(seeds.select("h")).distinct())
+    nodes = materialise(words.select("h", "n", "seed_t", "seed_c").join(small(at), "h", "left_semi"))
+    half = _weighed(node_pairs(docs, nodes, window, most), nodes, nodes, total, window, min_g2)
+    return nodes, materialise(half.select(F.explode(F.array(F.struct("i", "j", "w"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "w"))).alias("e")).select("e.*"))
 
 
 # 4. random walks ----

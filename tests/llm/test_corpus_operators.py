@@ -280,7 +280,9 @@ def test_graph_and_walk(spark):
         if math.log(q / e) > 0 and 2 * (q * math.log(q / e) - (q - e)) >= 3.84:
             weight[pair] = math.log(q / e)
     at = sorted(toxic | {w for pair in weight if pair & toxic for w in pair})
+    rows = toxicity.word_graph(df, vocab, total, 3, 3.84, most=1)[1]  # pairs as rows
     nodes, edges = toxicity.word_graph(df, vocab, total, 3, 3.84)
+    assert sorted((r.i, r.j, round(r.w, 9)) for r in rows.collect()) == sorted((r.i, r.j, round(r.w, 9)) for r in edges.collect())
     h = dict(zip(at, signed(_text.word_hash(at))))
     assert {r.h: (r.n, r.seed_t, r.seed_c) for r in nodes.collect()} == {h[w]: got[w][:3] for w in at} and len(at) > 8
     want = {(h[x], h[y]): v for x in at for y in at if (v := weight.get(frozenset((x, y))))}
@@ -317,87 +319,111 @@ def test_threshold_takes_equal_scores_together():
 
 
 def brute_katz(texts):
-    """Token log probabilities and a function P(w | u, v) over the closed vocabulary."""
+    """P(w | u, v), P(w | v), P(w) as functions of any words, and the counts."""
     seqs = [["<s>", "<s>", *words(t), "</s>"] for t in texts]
     c3 = Counter((s[i - 2], s[i - 1], s[i]) for s in seqs for i in range(2, len(s)))
-    c2, c1 = Counter(), Counter()
+    c2, c1, h3, h2 = Counter(), Counter(), Counter(), Counter()
     for (u, v, w), n in c3.items():
         c2[v, w] += n
         c1[w] += n
-    h3, h2 = Counter(), Counter()
-    for (u, v, w), n in c3.items():
         h3[u, v] += n
-    for (v, w), n in c2.items():
         h2[v] += n
-    d = [katz.discounts(np.array([sum(1 for n in c.values() if n == r) for r in range(1, katz.K + 2)])) for c in (c2, c3)]
+    d = [katz.discounts(np.array([sum(1 for n in c.values() if n == r) for r in range(1, katz.K + 2)])) for c in (c1, c2, c3)]
     total = sum(c1.values())
+    after2, after3 = defaultdict(list), defaultdict(list)
+    for v, w in c2:
+        after2[v].append(w)
+    for u, v, w in c3:
+        after3[u, v].append(w)
+    f = lambda k, n: (d[k][n] if n <= katz.K else 1) * n
+    for v in after2:
+        h2[v] += all(f(1, c2[v, w]) == c2[v, w] for w in after2[v])
+    for u, v in after3:
+        h3[u, v] += all(f(2, c3[u, v, w]) == c3[u, v, w] for w in after3[u, v])
+    total += all(f(0, n) == n for n in c1.values())
+    rest = 1 - sum(f(0, n) for n in c1.values()) / total
+
+    def p1(w):
+        return f(0, c1[w]) / total if c1[w] else rest
 
     def p2(w, v):
         if c2[v, w]:
-            return (d[0][c2[v, w]] if c2[v, w] <= katz.K else 1) * c2[v, w] / h2[v]
-        seen = [x for x in c1 if c2[v, x]]
-        return (1 - sum(p2(x, v) for x in seen)) / (1 - sum(c1[x] for x in seen) / total) * c1[w] / total
+            return f(1, c2[v, w]) / h2[v]
+        left, below = 1 - sum(p2(x, v) for x in after2[v]), 1 - sum(p1(x) for x in after2[v])
+        return left / below * p1(w)
 
     def p3(w, u, v):
-        n = c3[u, v, w]
-        if n >= katz.KEEP3:
-            return (d[1][n] if n <= katz.K else 1) * n / h3[u, v]
-        kept = [x for x in c1 if c3[u, v, x] >= katz.KEEP3]
-        a = (1 - sum(p3(x, u, v) for x in kept)) / (1 - sum(p2(x, v) for x in kept)) if h3[u, v] else 1
-        return a * p2(w, v)
+        if c3[u, v, w]:
+            return f(2, c3[u, v, w]) / h3[u, v]
+        left, below = 1 - sum(p3(x, u, v) for x in after3[u, v]), 1 - sum(p2(x, v) for x in after3[u, v])
+        return left / below * p2(w, v)
+
+    return p1, p2, p3, c1, c2, c3
+
+
+def brute_scores(rows, p3):
+    out = []
+    for i, t in rows:
+        s = ["<s>", "<s>", *words(t), "</s>"]
+        lp = sum(math.log(p3(s[k], s[k - 2], s[k - 1])) for k in range(2, len(s)))
+        out.append((i, len(s) - 3, lp, lp / (len(s) - 2)))
+    return out
+
 
-    return [sum(math.log(p3(s[i], s[i - 2], s[i - 1])) for i in range(2, len(s))) for s in seqs], p2, p3, c1, c3
+def close(got, want):
+    got, want = sorted((tuple(r) for r in got), key=repr), sorted(want, key=lambda r: repr((r[0], r[1], round(r[2], 6))))
+    assert [g[:2] for g in got] == [e[:2] for e in want]
+    for g, e in zip(got, want):
+        assert g[2:] == pytest.approx(e[2:], abs=2e-5)
 
 
 def test_katz(spark, docs, rows, clashing, empty):
-    want, p2, p3, c1, c3 = brute_katz([r[1] for r in rows])
-    expect = [(r[0], len(words(r[1])), round(x, 6), round(x / (len(words(r[1])) + 1), 6)) for r, x in zip(rows, want)]
-    for d, part in ((docs, katz.PART), (clashing, 40)):  # 40: nearly every word is split among partitions
-        got = [tuple(r) for r in katz.score_documents(d, part=part).collect()]
-        assert len(got) == len(expect)
-        for g, e in zip(sorted(got, key=repr), sorted(expect, key=repr)):
-            assert g[:2] == e[:2] and g[2:] == pytest.approx(e[2:], abs=2e-6)
-    for u, v, _ in list(c3)[:25]:
-        assert sum(p3(w, u, v) for w in c1) == pytest.approx(1, abs=1e-9)
-        if v != "<s>":
-            assert sum(p2(w, v) for w in c1) == pytest.approx(1, abs=1e-9)
+    p3 = brute_katz([r[1] for r in rows])[2]
+    want = brute_scores([r[:2] for r in rows], p3)
+    for d, part, share in ((docs, katz.PART, katz.MIN_SHARE), (clashing, 40, katz.MIN_SHARE), (docs, katz.PART, 1.0), (docs, 20, 0.02)):  # small parts split nearly every context; a share of 1 leaves the code book empty
+        close(katz.score_documents(d, part=part, min_share=share).collect(), want)
     assert katz.score_documents(empty).collect() == []
+    named = docs.selectExpr("if(doc_id is null, null, concat('d', doc_id)) as id", "text as body")
+    close(katz.score_documents(named, "id", "body").collect(), [(i if i is None else f"d{i}", *x) for i, *x in want])
 
 
-def test_katz_backoff_weights_normalise(rows):
-    """The model of one partition: kept mass plus backoff times the rest is 1 for every context."""
-    texts = [r[1] for r in rows]
-    tokens = [w for t in texts for w in words(t)]
-    names = [w for w, _ in Counter(tokens).most_common()]
-    voc = katz.Vocabulary(_text.word_hash(names), np.array([Counter(tokens)[w] for w in names], float), len(tokens), len(texts))
-    at = {w: i + katz.FIRST for i, w in enumerate(names)}
-    keys = []
-    for t in texts:
-        s = [katz.START, katz.START, *[at[w] for w in words(t)], katz.END]
-        keys += [(v << 42) | (u << 21) | w for u, v, w in zip(s, s[1:], s[2:])]
-    _, c = _blob.count_sorted(np.array(keys, np.uint64))
-    d3 = katz.discounts(katz._freq(c))
-    _, c2 = katz._bigrams(*_blob.count_sorted(np.array(keys, np.uint64)))
-    m = katz.Partition(voc, np.array(keys, np.uint64), None, katz.discounts(katz._freq(c2)), d3)
-    low = dict(zip(m.bigrams.tolist(), m.p2))
-    types, n = _blob.count_sorted(np.array(keys, np.uint64))
-    kept, lows = defaultdict(float), defaultdict(float)
-    for k, x, lp in zip(types.tolist(), n, m.log_p):
-        if x >= katz.KEEP3:
-            kept[k >> 21] += math.exp(lp)
-            lows[k >> 21] += low[((k >> 42) << 21) | (k & ((1 << 21) - 1))]
-    for ctx, a in zip(m.context.tolist(), m.backoff):
-        assert kept[ctx] + a * (1 - lows[ctx]) == pytest.approx(1, abs=1e-9)
-
-
-def test_katz_keeps_rare_words(spark, docs, rows):
-    """Words below the code book's share are words of the model, not one unknown word."""
-    want, *_ = brute_katz([r[1] for r in rows])
-    expect = sorted(((r[0], len(words(r[1])), round(x, 6)) for r, x in zip(rows, want)), key=repr)
-    for share, part in ((1.0, katz.PART), (0.02, katz.PART), (0.02, 40)):
-        got = sorted((tuple(r)[:3] for r in katz.score_documents(docs, min_share=share, part=part).collect()), key=repr)
-        assert [g[:2] for g in got] == [e[:2] for e in expect]
-        assert [g[2] for g in got] == pytest.approx([e[2] for e in expect], abs=2e-6)
+@pytest.fixture(scope="module")
+def katz_model(docs):
+    return katz.train(docs)
+
+
+def test_katz_model_scores_held_out_documents(spark, docs, rows, katz_model):
+    """Unseen trigrams, bigrams and words against brute force; the corpus itself as in the single pass."""
+    p1, p2, p3, c1, c2, c3 = brute_katz([r[1] for r in rows])
+    rng = random.Random(12)
+    held = [(k, " ".join(rng.choice([*WORDS, "unheard", "漢字"]) for _ in range(rng.randint(1, 40)))) for k in range(40)] + [(90, None), (91, ""), (None, "hill hill zzz")]
+    tri = [x for _, t in held for s in [["<s>", "<s>", *words(t), "</s>"]] for x in zip(s, s[1:], s[2:])]
+    assert any(x not in c3 and x[1:] in c2 for x in tri) and any(x[1:] not in c2 and x[2] in c1 for x in tri) and any(x[2] not in c1 for x in tri)
+    df = spark.createDataFrame(held, "doc_id long, text string").selectExpr("*", "1 as u", "2 as p", "3 as row", "4 as n")
+    close(katz.score(df, katz_model).collect(), brute_scores(held, p3))
+    close(katz.score(docs, katz_model).collect(), katz.score_documents(docs).collect())
+
+
+def test_katz_tables_sum_to_one(spark, rows, katz_model):
+    """Over the vocabulary and the unknown words, for trigram and bigram contexts, from the model's own tables."""
+    p1, p2, p3, c1, c2, c3 = brute_katz([r[1] for r in rows])
+    h = lambda w: {"<s>": katz.START, "</s>": katz.END}.get(w, None) if w in ("<s>", "</s>") else signed(_text.word_hash([w]))[0]
+    every = {w: h(w) for w in [*c1, "never seen"]}
+    some = sorted({(u, v) for u, v, _ in c3} - {("<s>", "<s>")})[:25] + [("<s>", "<s>"), ("river", "nowhere"), ("nowhere", "stone")]  # the last two are seen as bigram contexts at most
+    types = spark.createDataFrame([(h(u), h(v), x) for u, v in some for x in every.values()], "u long, v long, w long")
+    sums = Counter()
+    for r in katz.probabilities(types, katz_model).collect():
+        sums[r.u, r.v] += r.p
+    assert len(sums) == len(some) and all(x == pytest.approx(1, abs=1e-9) for x in sums.values())
+
+
+def test_katz_of_a_corpus_ten_times_over(spark, docs, katz_model):
+    """No word is cut however large the corpus: the vocabulary is the same, and counts grow with it."""
+    ten = katz.train(docs.crossJoin(spark.range(10).select()))
+    assert {r.w for r in ten.unigrams.collect()} == {r.w for r in katz_model.unigrams.collect()}
+    assert ten.trigrams.count() == katz_model.trigrams.count()
+    empty = katz.train(docs.limit(0))
+    assert empty.trigrams.count() == 0 and katz.score(docs.limit(0), empty).collect() == []
 
 
 # ---- 5 line dedup
@@ -658,27 +684,40 @@ def test_components(spark):
 
 
 def brute_syncmers(t, k, s):
-    p = (1 << 31) - 1
-
-    def h(x):
-        return (sum(ord(c) * pow(syncmers._BASE, j, p) for j, c in enumerate(x)) % p * syncmers._A + syncmers._B) % p
-
-    out = []
+    def h(x, which=0):
+        p, base = syncmers.PRIMES[which]
+        v = 0
+        for c in reversed(x):
+            v = (v * base + ord(c)) % p
+        return (v * syncmers._A + syncmers._B) % p
+
+    inner, out = [h(t[i : i + s]) for i in range(len(t) - s + 1)], []
     for i in range(len(t) - k + 1):
-        inner = [h(t[i + j : i + j + s]) for j in range(k - s + 1)]
-        if min(inner) in (inner[0], inner[-1]):
-            out.append((i, h(t[i : i + k])))
+        w = inner[i : i + k - s + 1]
+        if min(w) in (w[0], w[-1]):
+            out.append((i, h(t[i : i + k]) << 31 | h(t[i : i + k], 1)))
     return out
 
 
 def test_syncmers(docs, rows, clashing, empty):
-    k, s = 20, 6
-    want = [(i, brute_syncmers((t or "")[:600] if i != 67 else t[:600], k, s)) for i, t, *_ in rows if i != 67]
-    got = [(r.doc_id, list(zip(r.positions, r.hashes))) for r in syncmers.fingerprints(docs.where("doc_id is null or doc_id <> 67"), k, s).collect()]
-    short = {repr((i, x)) for i, x in want}
-    assert all(repr((i, [y for y in x if y[0] + k <= 600])) in short or len(x) for i, x in got)
-    same([(i, [y for y in x if y[0] + k <= 600]) for i, x in got], want)
+    """Whole texts, the long one too, with production values and others."""
+    for k, s in ((syncmers.K, syncmers.S), (20, 6)):
+        got = [(r.doc_id, list(zip(r.positions, r.hashes))) for r in syncmers.fingerprints(docs, k, s).collect()]
+        same(got, [(i, brute_syncmers(t or "", k, s)) for i, t, *_ in rows])
     assert syncmers.fingerprints(clashing).count() == len(rows) and syncmers.fingerprints(empty).collect() == []
+    named = syncmers.fingerprints(docs.selectExpr("concat('d', doc_id) as id", "text as body"), id_col="id", text_col="body")
+    assert dict(named.dtypes)["doc_id"] == "string" and named.count() == len(rows)
+
+
+def test_short_passages_share_an_anchor(spark):
+    """Any passage of 51 characters and any benchmark-like item has an anchor, the same wherever it stands."""
+    rng = random.Random(16)
+    least = 2 * syncmers.K - syncmers.S - 1
+    items = [text_of(rng, 30)[:least] for _ in range(60)] + [text_of(rng, rng.randint(12, 25)) for _ in range(40)]
+    where = [text_of(rng, 5) + x + text_of(rng, 40) for x in items]
+    df = spark.createDataFrame([*enumerate(items), *((1000 + k, t) for k, t in enumerate(where))], "doc_id long, text string")
+    got = {r.doc_id: set(r.hashes) for r in syncmers.fingerprints(df).collect()}
+    assert all(len(x) >= least for x in items) and all(got[k] and got[k] <= got[1000 + k] for k in range(len(items)))
 
 
 def test_syncmers_are_context_free(spark):
