@@ -432,19 +432,22 @@ def test_katz_of_a_corpus_ten_times_over(spark, docs, katz_model):
 def brute_lines(rows):
     """Rows with the same id and text are one occurrence."""
     seen, cut = set(), defaultdict(set)
-    keyed = {(i is not None, i or 0, t) for i, t in rows if t is not None}
+    none = "" if any(isinstance(i, str) for i, _ in rows) else 0
+    keyed = {(i is not None, i or none, t) for i, t in rows if t is not None}
 
     # any order of the texts of one id is as good as another: such rows are left out by the caller
     for key in sorted(keyed):
         lines = [x.strip(" ") for x in key[2].split("\n")]
         for k in range(len(lines) - 2):
             w = tuple(lines[k : k + 3])
+            if not any(w):  # blank lines alone are no passage
+                continue
             if w in seen:
                 cut[key] |= {k, k + 1, k + 2}
             seen.add(w)
     out = []
     for i, t in rows:
-        c = cut[i is not None, i or 0, t] if t is not None else ()
+        c = cut[i is not None, i or none, t] if t is not None else ()
         lines = None if t is None else t.split("\n")
         out.append((i, t if not c else "\n".join(x for k, x in enumerate(lines) if k not in c), len(lines or ()), len(c)))
     return out
@@ -470,6 +473,21 @@ def test_line_dedup_drops_copies(spark):
     assert {r.doc_id: r.text for r in linededup.keep_rest(linededup.dedup_lines(df)).collect()} == {1: t, 3: "x"}
 
 
+def test_line_dedup_edges(spark):
+    """Blank lines, names that clash, ids of another type, a text of several MB."""
+    long = "\n".join(f"line {k} of many" for k in range(150_000))
+    rows = [("a", "c\n\n\n\nd"), ("b", "e\n\n\n\nf"), ("c", "x one\ny two\nz three"), ("d", "x one \n y two\nz three\nlast"), ("e", long), ("f", "first\n" + long), (None, "x one\ny two\nz three"), ("g", ""), ("h", None)]
+    df = spark.createDataFrame(rows, "id string, body string").repartition(2)
+    for c in ("__h", "__th", "__cut", "__id", "h", "k", "row", "cut", "slot", "bits", "c_id", "c_h", "a", "b", "text", "doc_id"):
+        df = df.selectExpr("*", f"'{c}' as `{c}`")
+    got = linededup.dedup_lines(df, "id", "body")
+    assert got.columns == [*df.columns, "n_lines", "n_removed"] and all(r["__th"] == "__th" and r.cut == "cut" for r in got.collect())
+    same([(r.id, r.body, r.n_lines, r.n_removed) for r in got.collect()], brute_lines(rows))
+    by = {r.id: r.body for r in got.collect()}
+    assert by["a"] == "c\n\n\n\nd" and by["d"] == "last" and by["f"] == "first" and by["c"] == ""
+    assert {r.id for r in linededup.keep_rest(got).collect()} == {"a", "b", "d", "e", "f", "g", "h", None}
+
+
 # ---- 6 mixing
 
 
@@ -508,6 +526,34 @@ def test_mixing(spark, docs, rows, clashing, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_mixing_where_the_repeat_limit_binds(spark, docs):
+    """mix() against its SQL with a limit that wins over the entropy."""
+    duckdb = pytest.importorskip("duckdb")
+    from lossledger.llm._tables import table
+
+    for limit in (1.2, 2.0, 4.0):
+        df = table(spark, "/root/testdata/sf0.001", "documents").where("source <> 'x'")
+        got = mixing.mix(df.select("doc_id", "text", "source"), max_repeats=limit).select("doc_id", "block_rank", "epoch")
+        con = duckdb.connect()
+        con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+        same([tuple(r) for r in got.collect()], con.execute(mixing.sql(max_repeats=limit)).fetchall())
+    tokens = [50, 5, 5]
+    assert mixing.exponent(tokens, 60, math.log(3), 1.5) > mixing.exponent(tokens, 60, math.log(3), None)
+
+
+def test_mixing_of_many_sources(spark):
+    """Sources are rows: as many as documents, of a few sizes, some without tokens; ids and names of any kind."""
+    df = spark.range(3000).selectExpr("concat('d', id) as id", "if(id % 10 = 0, '', repeat('w ', cast(1 + id % 3 as int))) as body", "concat('s', id) as site", "1 as n", "2 as row", "3 as __mix_n", "4 as passes", "5 as rank", "6 as i", "7 as s", "8 as h", "9 as b", "10 as copies")
+    out = mixing.mix(df, id_col="id", text_col="body", source_col="site")
+    assert out.columns == [*df.columns, "block_rank", "epoch"]
+    got = Counter(r.id for r in out.collect())
+    tokens = [1 + k % 3 if k % 10 else 0 for k in range(3000)]
+    w = mixing.weights(tokens, mixing.exponent(tokens, sum(tokens), mixing.ENTROPY_SHARE * math.log(2700), mixing.MAX_REPEATS))
+    for k in range(3000):
+        want = math.floor(sum(tokens) * w[k] + 1e-6)
+        assert got[f"d{k}"] == (want // tokens[k] + (want % tokens[k] > 0) if tokens[k] else 1)
+
+
 # ---- 7 near duplicates
 
 
