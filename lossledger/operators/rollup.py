@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schema import SEVERITY, UNJUDGED_IDS
 
@@ -39,6 +40,11 @@ def triage(reports: DataFrame, order: str = "run_id") -> DataFrame:
     return reports.orderBy(severity(F.col("verdict")), order)
 
 
+def place(verdict: Column, *order: str) -> Column:
+    """Each report's place in that order, from 0. One task ranks all: for the reports of a triage list, a row for each run."""
+    return F.row_number().over(Window.orderBy(severity(verdict), *order)) - 1
+
+
 def fleet_summary(reports: DataFrame, *dims: str) -> DataFrame:
     """Numbers of runs by verdict for every prefix of the dimensions."""
     return reports.rollup(*dims).agg(F.count("*").alias("runs"), *[F.count_if(F.col("verdict") == v).alias(v.lower().replace("-", "_")) for v in SEVERITY])

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import oracle
 from . import thresholds as T
 from .functions.columns import as_float, canonical, normal_tag
 from .operators import compare as C
 from .operators import objective, preflight, rollup, single_run, speech, tokenizer
 from .plans.stats import STATS, run_stats
-from .schema import GROUPS, SEVERITY, alias_map
+from .schema import alias_map
 from .sources import tfevents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,8 @@ _VARIANTS = {
         "step_time": "1 + k / 1e3 + CASE WHEN run % 6 = 0 AND rec_idx >= 36 THEN 5 ELSE 0 END",
         "loader_time": "CASE WHEN run % 4 = 0 THEN 0.7e0 WHEN run % 4 = 1 THEN 0.2e0 END",
     },
+    "no_loss": {"loss": "CAST(NULL AS DOUBLE)"},
+    "steps_missing": {"step": "CASE WHEN rec_idx % 3 = 0 THEN CAST(rec_idx AS DOUBLE) END", "loss": "100 / (1 + rec_idx) + value / 1000", "eval_loss": "CASE WHEN rec_idx % 10 = 0 THEN CASE WHEN run % 3 = 1 THEN 1 + abs(rec_idx - 30) / 1e1 ELSE 100 / (1 + rec_idx) END END"},
     "short": {"loss": "CASE WHEN rec_idx < 4 THEN 0e0 END", "eval_loss": "CAST(NULL AS DOUBLE)", "grad_norm": "CAST(NULL AS DOUBLE)", "lr": "CAST(NULL AS DOUBLE)", "step_time": "CAST(NULL AS DOUBLE)", "loader_time": "CAST(NULL AS DOUBLE)", "gpu_util": "CAST(NULL AS DOUBLE)"},
 }
 
@@ -53,6 +56,7 @@ _VARIANTS = {
 def _records_sql(dialect: str, variant: str) -> str:
     d = _DIALECT[dialect]
     base = {
+        "step": "CAST(rec_idx AS DOUBLE)",
         "loss": "value",
         "eval_loss": "CASE WHEN event_type = 'purchase' THEN value END",
         "grad_norm": "CASE WHEN event_type = 'click' THEN value END",
@@ -65,7 +69,7 @@ def _records_sql(dialect: str, variant: str) -> str:
     cols = ", ".join(f"{v.format(nan=d['nan'])} AS {k}" for k, v in base.items())
     order = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
     return (
-        f"SELECT run AS run_id, rec_idx, CAST(rec_idx AS DOUBLE) AS step, {cols} FROM (SELECT user_id AS run, CAST(row_number() {order} - 1 AS BIGINT) AS rec_idx, "
+        f"SELECT run AS run_id, rec_idx, {cols} FROM (SELECT user_id AS run, CAST(row_number() {order} - 1 AS BIGINT) AS rec_idx, "
         f"value, event_type, {d['us']} AS us, {d['k']} AS k, lag({d['us']}) {order} AS before FROM {d['table']}) e"
     )
 
@@ -75,21 +79,6 @@ def log_records(spark: SparkSession, sf_dir: str, variant: str = "raw") -> DataF
     return spark.sql(_records_sql("spark", variant).replace("FROM events", "FROM {e}"), e=_table(spark, sf_dir, "events"))
 
 
-def _stats_sql(variant: str, records: str | None = None) -> str:
-    """CTEs up to `stats`."""
-    fin = lambda x: f"CASE WHEN isfinite({x}) THEN {x} END"
-    share = "CASE WHEN step_time > 0 AND NOT isnan(step_time) AND loader_time IS NOT NULL THEN loader_time / step_time END"
-    upto = "OVER (PARTITION BY run_id ORDER BY rec_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    run = "OVER (PARTITION BY run_id)"
-    return f"""WITH records AS ({records or _records_sql("duck", variant)}),
-series AS (SELECT run_id, rec_idx, step, loss, lr, time, {fin("loss")} AS f, {fin("eval_loss")} AS e, {fin("grad_norm")} AS g, {fin("step_time")} AS st, {fin(share)} AS lf, {fin("gpu_util")} AS gu FROM records),
-ranked AS (SELECT *, count(f) {upto} AS rf, count(e) {upto} AS re, count(st) {upto} AS rs, count(f) {run} AS nf, count(e) {run} AS ne, count(st) {run} AS ns, min(e) {run} AS e_low FROM series),
-lowest AS (SELECT run_id AS low_run, arg_min(step, rec_idx) AS e_low_step FROM ranked WHERE e = e_low GROUP BY 1),
-placed AS (SELECT ranked.*, e_low_step FROM ranked LEFT JOIN lowest ON run_id = low_run),
-stats AS (SELECT run_id, {", ".join(f"{x} AS {k}" for k, x in STATS.items())} FROM placed GROUP BY run_id)
-"""
-
-
 def reports(spark: SparkSession, sf_dir: str, variant: str = "mixed") -> DataFrame:
     return single_run.check_records(log_records(spark, sf_dir, variant))
 
@@ -98,12 +87,6 @@ def _ids(findings: str = "findings"):
     return F.array_join(F.transform(findings, lambda f: f["id"]), ",")
 
 
-_CASE_IDS = ", ".join(f"CASE WHEN {single_run.fires(r)} THEN '{r.id}' END" for r in single_run.RULES)
-_CLOSING = "CASE verdict WHEN 'PASS' THEN 'TP-PASS' WHEN 'NOT-CHECKED' THEN 'TP-NOT-CHECKED' END"
-_JUDGED = f"judged AS (SELECT *, {single_run.VERDICT} AS verdict FROM stats)"
-_NO_LOSS = "CASE WHEN n_loss = 0 THEN 'TP-NO-LOSS' END"
-
-
 def _rounded(c: str) -> str:
     return f"round(CAST({c} AS DOUBLE), 6) AS {c}"
 
@@ -112,10 +95,6 @@ _STAT_COLS = [k for k in STATS if k not in ("f_zero", "g_zero")]
 _INT_STATS = {k for k in STATS if k.startswith("n_")}
 
 
-def _stat_select(stats: list[str]) -> str:
-    return ", ".join(f"CAST({k} AS BIGINT) AS {k}" if k in _INT_STATS else _rounded(k) for k in stats)
-
-
 def series_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_stats(log_records(spark, sf_dir, "mixed")).selectExpr("run_id", *[f"CAST({k} AS BIGINT) AS {k}" if k in _INT_STATS else _rounded(k) for k in _STAT_COLS])
 
@@ -132,6 +111,14 @@ def verdicts_healthy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports(spark, sf_dir, "healthy").select("run_id", "verdict", _ids().alias("ids"))
 
 
+def _verdicts_of(variant: str) -> Query:
+    return lambda spark, sf_dir: reports(spark, sf_dir, variant).select("run_id", "verdict", _ids().alias("ids"))
+
+
+def checks_no_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return single_run.checks(reports(spark, sf_dir, "no_loss")).select("run_id", "grp", "ran", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 def verdicts_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rules on a larger table: a run for each supplier."""
     return single_run.check_records(lineitem_records(spark, sf_dir)).select("run_id", "verdict", _ids().alias("ids"))
@@ -153,13 +140,24 @@ def worst_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.worst_verdict(reports(spark, sf_dir))
 
 
-def exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.exit_code(reports(spark, sf_dir, "healthy"))
+def _exit_code(variant: str) -> Query:
+    return lambda spark, sf_dir: rollup.exit_code(reports(spark, sf_dir, variant))
+
+
+#: All passed or warned; some failed; some could not be judged.
+_EXITS = {"": "healthy", "_failed": "mixed", "_unjudged": "short"}
 
 
 def triage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reports(spark, sf_dir).select("run_id", "verdict", rollup.severity(F.col("verdict")).alias("severity"))
-    return r.groupBy("severity", "verdict").agg(F.count("*").alias("runs"), F.min("run_id").alias("first_run"))
+    """Place of each run, worst first."""
+    ordered = rollup.triage(reports(spark, sf_dir).select("run_id", "verdict"))
+    return ordered.select(rollup.place(F.col("verdict"), "run_id").alias("place"), "run_id", "verdict")
+
+
+def bad_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first steps with a loss that is no number."""
+    stats = run_stats(log_records(spark, sf_dir, "mixed")).where("n_bad > 0")
+    return stats.select("run_id", F.array_join(F.transform("bad_steps", lambda x: x.cast("long").cast("string")), ",").alias("steps"))
 
 
 def _rule_query(rule: single_run.Rule) -> Query:
@@ -170,11 +168,6 @@ def _rule_query(rule: single_run.Rule) -> Query:
     return query
 
 
-def _rule_sql(rule: single_run.Rule) -> str:
-    skip = f"coalesce({single_run.guard(rule.group)}, '')" if rule.group else "''"
-    return _stats_sql("mixed") + f"SELECT run_id, {single_run.fires(rule)} AS fires, {skip} AS skipped FROM stats"
-
-
 def throughput_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_stats(log_records(spark, sf_dir)).where("n_t >= 2 and t1 > t0 and s1 > s0").select("run_id", F.round((F.col("s1") - F.col("s0")) / (F.col("t1") - F.col("t0")), 9).alias("rate"))
 
@@ -221,29 +214,6 @@ def doctor_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.merge_into(r, C.compare(m, _base_of(m))).select("run_id", "verdict", F.size("findings").cast("long").alias("n_findings"))
 
 
-_METRICS_SQL = "m AS (SELECT run_id, verdict, floor, start_med, end_med, " + ", ".join(f"{x} AS {k}" for k, x in C.METRICS.items()) + " FROM judged)"
-_BASE_SQL = "base AS (SELECT * FROM m WHERE run_id % 10 = 3 ORDER BY run_id LIMIT 1)"
-_M_COLS = ["run_id", "verdict", "floor", "start_med", "end_med", *C.METRICS]
-_SIDE = lambda s, t: ", ".join(f"{t}.{c} AS {s}_{c}" for c in _M_COLS)
-
-
-def _compare_sql(pairs: str) -> str:
-    ids = [f"CASE WHEN coalesce({cond}, false) THEN '{k}' END" for k, cond in C.CONDITIONS.items()]
-    for s in "rb":
-        ids.append(f"CASE WHEN {s}_verdict = 'NOT-CHECKED' THEN 'TP-CMP-UNCOMPARABLE' END")
-        ids.append(f"CASE WHEN {C.DEGENERATE} AND {s}_degenerate IS NOT NULL THEN 'TP-CMP-UNCOMPARABLE' END")
-    ids += [f"CASE WHEN {C.SHORT} THEN 'TP-NO-LOSS' END", "CASE WHEN verdict = 'PASS' AND error IS NULL THEN 'TP-CMP-PASS' END", "CASE WHEN error IS NOT NULL THEN 'TP-CMP-ERROR' END"]
-    return f"""pairs AS ({pairs}),
-ladder AS (SELECT *, {C.ERROR} AS error FROM pairs),
-decided AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'WARN' ELSE {C.VERDICT} END AS verdict FROM ladder),
-compared AS (SELECT *, list_sort(list_filter([{", ".join(ids)}], lambda x: x IS NOT NULL)) AS ids FROM decided)
-"""
-
-
-_CROSS = f"SELECT {_SIDE('r', 'm')}, {_SIDE('b', 'base')} FROM m, base"
-_JUDGE_SQL = _stats_sql("mixed") + f", {_JUDGED}, {_METRICS_SQL}, {_BASE_SQL}, "
-
-
 # -- columns, tags, gaps and islands
 
 
@@ -411,32 +381,33 @@ _RULE_NAMES = {r.id: "rule_" + r.id[3:].lower().replace("-", "_") for r in singl
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        series_stats, verdicts, verdicts_short, verdicts_healthy, verdicts_lineitem, checks_ran_skipped, worst_verdict, exit_code, triage_order, throughput_rate,
+        series_stats, verdicts, verdicts_short, verdicts_healthy, verdicts_lineitem, checks_ran_skipped, worst_verdict, triage_order, bad_steps, checks_no_loss, throughput_rate,
         compare_metrics, compare_fleet, compare_own_baseline, compare_ranking, doctor_merge, json_column_resolution, alias_resolution, tag_normalise, claim_winner, fold_by_step,
         gaps_and_islands, preflight_empty, preflight_duplicates, preflight_duplicates_conversations, preflight_context_overflow, preflight_extract_text, objective_missing, mixed_scripts, unnormalized_text,
         text_rate_outlier, number_splits, top_newest, fleet_rollup, telemetry_join,
     )
-} | {k: _objective(*v) for k, v in _OBJECTIVES.items()} | {_RULE_NAMES[r.id]: _rule_query(r) for r in single_run.RULES}
+} | {f"exit_code{x}": _exit_code(v) for x, v in _EXITS.items()} | {f"verdicts_{v}": _verdicts_of(v) for v in ("no_loss", "steps_missing")} | {k: _objective(*v) for k, v in _OBJECTIVES.items()} | {_RULE_NAMES[r.id]: _rule_query(r) for r in single_run.RULES}
 
-_VERDICTS = lambda variant, records=None: _stats_sql(variant, records) + f", {_JUDGED} SELECT run_id, verdict, array_to_string(list_filter([{_NO_LOSS}, {_CASE_IDS}, {_CLOSING}], lambda x: x IS NOT NULL), ',') AS ids FROM judged"
-_SEV = "CASE verdict " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEVERITY.items()) + " END"
+_R = {v: _records_sql("duck", v) for v in _VARIANTS}
+_L = f"SELECT *, rec_idx::DOUBLE AS step FROM ({_LINEITEM})"
 
 SQL: dict[str, str] = {
-    "series_stats": _stats_sql("mixed") + f"SELECT run_id, {_stat_select(_STAT_COLS)} FROM stats",
-    "verdicts": _VERDICTS("mixed"),
-    "verdicts_short": _VERDICTS("short"),
-    "verdicts_healthy": _VERDICTS("healthy"),
-    "verdicts_lineitem": _VERDICTS("", _LINEITEM.replace("AS rec_idx,", "AS rec_idx, rec_idx AS step,")),
-    "checks_ran_skipped": _stats_sql("mixed") + " UNION ALL ".join(f"SELECT run_id, '{g}' AS grp, {single_run.guard(g)} IS NULL AS ran, coalesce({single_run.guard(g)}, '') AS reason FROM stats" for g in GROUPS),
-    "worst_verdict": _stats_sql("mixed") + f", {_JUDGED} SELECT arg_min(verdict, {_SEV}) AS worst_verdict FROM judged",
-    "exit_code": _stats_sql("healthy") + f", {_JUDGED} SELECT CASE WHEN bool_or(verdict = 'FAIL') THEN 1 WHEN bool_or(verdict = 'NOT-CHECKED') THEN 2 ELSE 0 END AS exit_code FROM judged",
-    "triage_order": _stats_sql("mixed") + f", {_JUDGED} SELECT {_SEV} AS severity, verdict, count(*) AS runs, min(run_id) AS first_run FROM judged GROUP BY ALL",
-    "throughput_rate": _stats_sql("raw") + "SELECT run_id, round((s1 - s0) / (t1 - t0), 9) AS rate FROM stats WHERE n_t >= 2 AND t1 > t0 AND s1 > s0",
-    "compare_metrics": _JUDGE_SQL.rstrip(", ") + " SELECT run_id, verdict, " + ", ".join(_rounded(c) for c in ("floor", "start_med", "end_med", "improvement", "gn_median")) + ", enough, coalesce(degenerate, '') AS degenerate FROM m",
-    "compare_fleet": _JUDGE_SQL + _compare_sql(_CROSS) + "SELECT r_run_id AS run_id, b_run_id AS baseline_id, verdict, coalesce(error, '') AS error, array_to_string(ids, ',') AS ids FROM compared",
-    "compare_own_baseline": _JUDGE_SQL + _compare_sql(f"SELECT {_SIDE('r', 'm')}, {_SIDE('b', 'b')} FROM m JOIN m b ON b.run_id = (SELECT min(x.run_id) FROM m x WHERE x.run_id % 10 = m.run_id % 10)") + "SELECT r_run_id AS run_id, b_run_id AS baseline_id, verdict, array_to_string(ids, ',') AS ids FROM compared",
-    "compare_ranking": _JUDGE_SQL + _compare_sql(_CROSS) + "SELECT r_run_id AS run_id, round(r_start_med, 6) AS start_med, round(r_floor, 6) AS floor, round(r_end_med, 6) AS end_med, round(r_improvement, 6) AS improvement, CASE WHEN r_run_id = b_run_id THEN 'BASELINE' ELSE verdict END AS verdict FROM compared WHERE r_enough",
-    "doctor_merge": _JUDGE_SQL + f"own AS (SELECT run_id AS o_run, verdict AS o_verdict, len(list_filter([{_NO_LOSS}, {_CASE_IDS}, {_CLOSING}], lambda x: x IS NOT NULL)) AS n FROM judged), " + _compare_sql(_CROSS) + "SELECT o_run AS run_id, CASE WHEN verdict = 'FAIL' THEN 'FAIL' WHEN verdict = 'WARN' AND o_verdict = 'PASS' THEN 'WARN' ELSE o_verdict END AS verdict, (n + len(ids))::BIGINT AS n_findings FROM own JOIN compared ON r_run_id = o_run",
+    "series_stats": oracle.stats(_R["mixed"]),
+    "bad_steps": oracle.bad_steps(_R["mixed"]),
+    **{f"verdicts_{v}" if v != "mixed" else "verdicts": oracle.verdicts(_R[v]) for v in ("mixed", "short", "healthy", "no_loss", "steps_missing")},
+    "verdicts_lineitem": oracle.verdicts(_L),
+    "checks_ran_skipped": oracle.checks(_R["mixed"]),
+    "checks_no_loss": oracle.checks(_R["no_loss"]),
+    "worst_verdict": oracle.worst(_R["mixed"]),
+    **{f"exit_code{x}": oracle.exit_code(_R[v]) for x, v in _EXITS.items()},
+    "triage_order": oracle.triage(_R["mixed"]),
+    "throughput_rate": oracle.rate(_R["raw"]),
+    "compare_metrics": oracle.compare_metrics(_R["mixed"]),
+    "compare_fleet": oracle.compare_fleet(_R["mixed"]),
+    "compare_own_baseline": oracle.compare_own(_R["mixed"]),
+    "compare_ranking": oracle.compare_ranking(_R["mixed"]),
+    "doctor_merge": oracle.doctor(_R["mixed"]),
+    "fleet_rollup": oracle.fleet(_R["mixed"]),
     "json_column_resolution": "SELECT event_id, 'loss' AS canon, CAST(props->>'$.k' AS DOUBLE) AS v FROM events WHERE props->>'$.k' IS NOT NULL",
     "alias_resolution": f"WITH a AS (SELECT unnest({sorted(alias_map())!r}) AS name, unnest({[alias_map()[n] for n in sorted(alias_map())]!r}) AS canon), e AS (SELECT ({sorted(alias_map())!r})[event_id % {len(alias_map())} + 1] AS name FROM events) SELECT upper(name) AS name, count(*) AS n, canon FROM e JOIN a USING (name) GROUP BY ALL",
     "tag_normalise": f"WITH a AS (SELECT unnest({_TAGS!r}) AS tag, unnest(['loss', 'val_loss', 'loss', 'val_loss', 'lr', 'grad_norm', 'loss', 'val_loss', 'other_loss', 'lr']) AS name, unnest(['loss', 'eval_loss', 'loss', 'eval_loss', 'lr', 'grad_norm', 'loss', 'eval_loss', NULL, 'lr']) AS canon), e AS (SELECT ({_TAGS!r})[event_id % {len(_TAGS)} + 1] AS tag FROM events) SELECT tag, count(*) AS n, name, canon FROM e JOIN a USING (tag) GROUP BY ALL",
@@ -458,6 +429,5 @@ SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY step) - 1 AS rec_
     "text_rate_outlier": f"WITH r AS (SELECT doc_id, n_chars / (1 + doc_id % 600)::DOUBLE AS rate FROM documents WHERE n_chars > 0), m AS (SELECT count(*) AS n, percentile_disc(0.5) WITHIN GROUP (ORDER BY rate DESC) AS median FROM r), o AS (SELECT * FROM r, m WHERE (rate > median * {T.CHAR_RATE_RATIO} OR rate < median / {T.CHAR_RATE_RATIO}) AND n >= {T.CHAR_RATE_MIN_PAIRS} AND median > 0) SELECT m.n, round(m.median, 6) AS median, (SELECT count(*) FROM o) AS outliers, (SELECT doc_id FROM o ORDER BY abs(rate - median) DESC, doc_id DESC LIMIT 1) AS worst_key FROM m",
     "number_splits": "WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b\\d+\\b')) AS num FROM documents) SELECT doc_id, count(*) AS numbers, count_if(length(num) > length(num) / 2 + 1)::BIGINT AS splits FROM n GROUP BY 1",
     "top_newest": "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20",
-    "fleet_rollup": _stats_sql("mixed") + f", {_JUDGED}, j AS (SELECT verdict, run_id % 3 AS seed, trim(n_name) AS nation FROM judged JOIN nation ON n_nationkey = run_id % 25) SELECT coalesce(nation, '*') AS nation, coalesce(seed, -1) AS seed, count(*) AS runs, " + ", ".join(f"count_if(verdict = '{v}')::BIGINT AS {v.lower().replace('-', '_')}" for v in SEVERITY) + " FROM j GROUP BY ROLLUP (nation, seed)",
     "telemetry_join": f"WITH r AS ({_records_sql('duck', 'raw')}) SELECT run_id, rec_idx, loss, CASE WHEN rec_idx % 2 = 0 THEN round(step_time, 6) END AS step_time FROM r",
-} | {k: _objective_sql(*v) for k, v in _OBJECTIVES.items()} | {_RULE_NAMES[r.id]: _rule_sql(r) for r in single_run.RULES}
+} | {k: _objective_sql(*v) for k, v in _OBJECTIVES.items()} | {n: oracle.rule(_R["mixed"], r) for r, n in _RULE_NAMES.items()}
