@@ -52,6 +52,15 @@ def compare_logs(spark: SparkSession, baseline: str, runs: list[str], fmt: str =
     return compared, C.ranking(compared, base)
 
 
+def merge_telemetry(records: DataFrame, telemetry: DataFrame) -> DataFrame:
+    """Records with the columns of telemetry (run_id, step, ..) of their run and step; what telemetry doesn't have stays. One row for each run and step there."""
+    extra = [c for c in telemetry.columns if c not in ("run_id", "step")]
+    t = telemetry.select(F.col("run_id").alias("t_run"), F.col("step").cast("double").alias("t_step"), *[F.col(c).alias(f"t_{c}") for c in extra])
+    both = records.join(t, (records["run_id"] == t["t_run"]) & (F.coalesce(records["step"], F.lit(-1.0)) == t["t_step"]), "left")
+    kept = [F.coalesce(f"t_{c}", c).alias(c) if c in extra else F.col(c) for c in records.columns]
+    return both.select(*kept, *[F.col(f"t_{c}").alias(c) for c in extra if c not in records.columns])
+
+
 def records_of(spark: SparkSession, history: Iterable[dict[str, Any]], run_id: str = "live", telemetry: dict[int, dict[str, float]] | None = None) -> DataFrame:
     """Records of a trainer's in-memory log history: entries with a loss or an eval loss, telemetry merged by step."""
     keys = {"loss": "loss", "eval_loss": "eval_loss", "grad_norm": "grad_norm", "step": "step", "learning_rate": "lr"}

@@ -43,12 +43,14 @@ VERDICT = f"CASE WHEN NOT {COMPARABLE} OR {FAILED} THEN 'FAIL' WHEN {WARNED} THE
 
 
 def join_baseline(runs: DataFrame, baselines: DataFrame) -> DataFrame:
-    """runs and baselines as of metrics(). With a column baseline_id in runs an equi-join on it; else every run with every baseline row (of which there are few: one)."""
+    """runs and baselines as of metrics(). With a column baseline_id in runs an equi-join on it; else every run with the one baseline row (none: no pairs)."""
     r = runs.select(*[F.col(c).alias(f"r_{c}") for c in runs.columns])
     b = baselines.select(*[F.col(c).alias(f"b_{c}") for c in baselines.columns])
     if "baseline_id" in runs.columns:
         return r.join(b, r["r_baseline_id"] == b["b_run_id"])
-    return r.crossJoin(b)
+    if len(baselines.head(2)) > 1:
+        raise ValueError("more than one baseline: give runs a column baseline_id")
+    return r.crossJoin(F.broadcast(b))
 
 
 def compare(runs: DataFrame, baselines: DataFrame) -> DataFrame:

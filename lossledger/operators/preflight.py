@@ -65,6 +65,14 @@ def check_special_tokens(tokenizer: Any) -> list[dict[str, str]]:
     return out
 
 
+def dense_index(rows: DataFrame) -> DataFrame:
+    """id of monotonically_increasing_id() as a dense idx: the place in the partition after the rows of the partitions before. No row is moved."""
+    at = F.shiftright("id", 33)
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    parts = rows.groupBy(at.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(parts), at == F.col("part")).select((F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before")).alias("idx"), *[c for c in rows.columns if c != "id"])
+
+
 class PreflightResult:
     def __init__(self, verdict: str, findings: list[dict[str, str]]) -> None:
         self.verdict, self.findings = verdict, findings
@@ -96,9 +104,9 @@ def preflight(spark: SparkSession, source: str | Path | DataFrame, tokenizer: An
         cols = [c for c in source.columns if c in ((text_field,) if text_field else TEXT_FIELDS)]
         text = F.coalesce(F.col(cols[0]).cast("string"), F.lit("None")) if text_field and cols else (F.coalesce(*[F.col(c).cast("string") for c in TEXT_FIELDS if c in cols], F.lit("None")) if cols else F.lit(""))
         texts = source.select(F.monotonically_increasing_id().alias("id"), text.alias("text"))
-        texts = texts.select((F.row_number().over(Window.orderBy("id")) - 1).alias("idx"), "text") if texts.where(F.col("text").rlike(BLANK_RE)).head(1) else texts.withColumnRenamed("id", "idx")
+        texts = dense_index(texts)
     else:
-        lines = read_jsonl(spark, str(source)).cache()
+        lines = read_jsonl(spark, str(source))
         bad = lines.where("malformed").agg(F.count("*").alias("n"), F.min("line_no").alias("first")).first()
         if bad["n"]:
             found.append(_f("TP-PRE-MALFORMED-JSONL", "FAIL", "JSONL parsing failed.", f"{bad['n']} broken lines. First bad line number: {bad['first']}"))

@@ -48,6 +48,21 @@ def decode_wave(data: bytes) -> tuple[int, int, np.ndarray]:
     return rate, n, x.reshape(-1, n).mean(axis=1) if len(x) else x
 
 
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Path and content of the files that are there, one at a time, read where the task runs; paths are local ones or URIs."""
+    from pyarrow import fs
+
+    for pdf in batches:
+        for path in pdf["path"]:
+            try:
+                where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+                if where.get_file_info(name).type == fs.FileType.File:
+                    with where.open_input_stream(name) as f:
+                        yield pd.DataFrame({"path": [path], "content": [f.read()]})
+            except (OSError, ValueError):  # no such file, or no such file system: missing
+                continue
+
+
 def analyse_audio(files: DataFrame) -> DataFrame:
     """files as of binaryFile -> AUDIO_DDL; files that can't be decoded have an error."""
 
@@ -111,8 +126,7 @@ def check_data(spark: SparkSession, path: str) -> dict:
     found = []
     if text["audio"]:
         named = corpus.where("audio <> ''").select("idx", "audio", F.length("text").alias("chars"))
-        there = [p for (p,) in named.select("audio").distinct().toLocalIterator() if os.path.exists(p)]
-        have = analyse_audio(spark.read.format("binaryFile").load(there)).withColumn("path", F.regexp_replace("path", "^file:/+", "/")) if there else spark.createDataFrame([], AUDIO_DDL)
+        have = analyse_audio(named.select(F.col("audio").alias("path")).distinct().mapInPandas(_contents, "path string, content binary"))
         joined = named.withColumn("p", F.col("audio")).join(have, F.col("p") == have["path"], "left").cache()
         a = joined.agg(
             F.count_if(F.col("path").isNull()).alias("missing"), F.count_if(F.col("error").isNotNull()).alias("broken"),

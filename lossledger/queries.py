@@ -6,20 +6,21 @@ losses, NaNs, dead gradients and slow tails exercise both sides of every rule.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import oracle
 from . import thresholds as T
+from .api import merge_telemetry
 from .functions.columns import as_float, canonical, normal_tag
 from .operators import compare as C
-from .operators import objective, preflight, rollup, single_run, speech, tokenizer
+from .operators import objective, preflight, rollup, single_run, speech
 from .plans.stats import STATS, run_stats
 from .schema import alias_map
-from .sources import tfevents
+from .sources import logs, tfevents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -263,14 +264,6 @@ def fold_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfevents.fold(s, tfevents.claim_winners(s)).select("run_id", "rec_idx", "step", "loss", "eval_loss", "lr", "grad_norm", F.round("time", 3).alias("time"))
 
 
-def gaps_and_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections opened by a header event, as in console logs."""
-    e = _table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    island = F.sum((F.col("event_type") == "signup").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return e.withColumn("island", island.cast("long")).groupBy(F.col("user_id").alias("run_id"), "island").agg(F.count("*").alias("n"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
-
-
 # -- datasets, objectives, texts
 
 
@@ -347,18 +340,83 @@ def text_rate_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speech.rate_outliers(d).select("n", F.round("median", 6).alias("median"), "outliers", F.col("worst.key").alias("worst_key"))
 
 
-def number_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digit runs, and those that would fall apart if every digit were a piece."""
-    n = _table(spark, sf_dir, "documents").select("doc_id", F.explode(tokenizer.numbers(F.col("text"))).alias("num"))
-    return n.groupBy("doc_id").agg(F.count("*").alias("numbers"), F.count_if(F.length("num") > F.length("num") / 2 + 1).alias("splits"))
+def preflight_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole preflight of a chat dataset without a tokenizer: its findings."""
+    c = _table(spark, sf_dir, "conversations").select(F.when(F.col("turn") % 7 == 0, " ").otherwise(F.col("text")).alias("content"))
+    result = preflight.preflight(spark, c)
+    return spark.createDataFrame([(result.verdict, f["id"], f["level"], re.sub(r" \(indices.*", "", f["evidence"])) for f in result.findings], "verdict string, id string, level string, evidence string")
 
 
 # -- fleet
 
 
-def top_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 20, as in a directory scan with a limit."""
-    return _table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey")
+def choose_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files, line items as their records: which logs of a scan are judged, the newest 20 of those with records enough."""
+    name = F.concat(F.col("o_orderkey").cast("string"), F.element_at(F.array(*[F.lit(x) for x in _NAMES]), (F.col("o_orderkey") % len(_NAMES) + 1).cast("int")))
+    files = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), name.alias("name"), F.col("o_orderdate").alias("mtime"))
+    counts = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("num_records"))
+    return logs.choose_logs(files, counts, newest=20).select("run_id", "num_records", "judged")
+
+
+_NAMES = [".jsonl", ".csv", ".log", ".txt", ".py", "tfevents.1", ".md", "-state.json"]
+
+
+# -- sources: events written as logs of each format, read by the parsers
+
+
+def _files(spark: SparkSession, sf_dir: str, line: Column, name: str, head: str = "", foot: str = "") -> DataFrame:
+    """A text of one line for each event of a user, as a file."""
+    e = _table(spark, sf_dir, "events").withColumn("k", F.expr("get_json_object(props, '$.k')"))
+    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line")))).alias("l"))
+    text = F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["line"]), ",\n" if name.endswith(".json") else "\n"), F.lit(foot))
+    files = rows.select(F.col("user_id").alias("run_id"), F.lit(name).alias("name"), text.alias("text"))
+    return files.withColumn("fmt", logs.detect_format(F.col("name"), F.col("text")))
+
+
+def _parsed(files: DataFrame, *cols: str, **overrides: str) -> DataFrame:
+    return logs.parse_text(files, overrides or None).select("run_id", "rec_idx", *cols)
+
+
+def source_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects with aliases and fields of no use, lines that are no object, objects without any known column."""
+    good = F.concat(F.lit('{"Training_Loss": '), F.col("value").cast("string"), F.lit(', "iter": '), (F.col("event_id") % 100).cast("string"), F.lit(', "current_lr": "'), F.col("k"), F.lit('", "note": "x"}'))
+    line = F.when(F.col("event_type") == "signup", "plain words").when(F.col("event_type") == "error", '{"epoch": 3}').when(F.col("event_id") % 11 == 0, "[1, 2]").otherwise(good)
+    files = _files(spark, sf_dir, line, "a.jsonl").withColumn("fmt", F.lit("jsonl"))  # named by the user: a first line that is no object looks like CSV
+    return _parsed(files, "step", "loss", "lr")
+
+
+def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted cells, short rows, cells that are no number, a column named by the user."""
+    row = F.concat((F.col("event_id") % 100).cast("string"), F.lit(',"'), F.col("value").cast("string"), F.lit('","a, b",'), F.col("k"))
+    line = F.when(F.col("event_type") == "signup", F.concat((F.col("event_id") % 100).cast("string"), F.lit(",n/a"))).otherwise(row)
+    return _parsed(_files(spark, sf_dir, line, "a.csv", head="Global_Step,Val_Loss,comment,mine\n"), "step", "eval_loss", "grad_norm", grad_norm="mine")
+
+
+def source_hf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trainer's state: losses, evals, entries with neither, and the closing summary."""
+    num = lambda key, c: F.concat(F.lit(f'"{key}": '), c.cast("string"))
+    inner = F.when(F.col("event_type") == "purchase", num("eval_loss", F.col("value"))).when(F.col("event_type") == "signup", num("learning_rate", F.col("k"))).otherwise(num("loss", F.col("value")))
+    line = F.concat(F.lit("{"), inner, F.lit(", "), num("step", F.col("event_id") % 100), F.lit("}"))
+    return _parsed(_files(spark, sf_dir, line, "trainer_state.json", head='{"max_steps": 9, "log_history": [', foot=', {"train_runtime": 5.0, "loss": 1.0}]}'), "step", "loss", "eval_loss", "lr")
+
+
+def source_coqui(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Console text with colours: a header and its lines for each event, some without a loss."""
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    loss = F.when(F.col("event_type") == "signup", "avg nothing").otherwise(F.concat(F.lit("\x1b[1m     | > loss: "), F.col("value").cast("string"), F.lit("  (0.5)\x1b[0m")))
+    line = F.concat(F.lit("\x1b[4m   --> TIME: "), stamp, F.lit(" -- STEP: 1/9 -- GLOBAL_STEP: "), (F.col("event_id") % 100).cast("string"), F.lit("\x1b[0m\n"), loss, F.lit("\n     | > grad_norm: "), F.col("k"))
+    return _parsed(_files(spark, sf_dir, line, "console.log", head=" > Start\n"), "step", "time", "loss", "grad_norm")
+
+
+def source_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats of documents under names and with texts of each kind."""
+    pick = lambda xs, c: F.element_at(F.array(*[F.lit(x) for x in xs]), (c % len(xs) + 1).cast("int"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", pick(_DETECT_NAMES, F.col("doc_id")).alias("name"), F.concat(pick(_DETECT_TEXTS, F.expr("doc_id div 8")), F.col("text")).alias("text"))
+    return d.select("doc_id", logs.detect_format(F.col("name"), F.col("text")).alias("fmt"))
+
+
+_DETECT_NAMES = ["trainer_state.json", "x.json", "events.out.tfevents.7", "tfevents.py", "a.csv", "b.jsonl", "c.log", "d"]
+_DETECT_TEXTS = ['{"log_history": [] ', "{", " > -- GLOBAL_STEP: 4 ", "a,b"]
 
 
 def fleet_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,10 +428,10 @@ def fleet_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def telemetry_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step times from one stream merged by step into the records of another."""
-    r = log_records(spark, sf_dir).select("run_id", "rec_idx", "loss")
-    t = log_records(spark, sf_dir).where("rec_idx % 2 = 0").select("run_id", "rec_idx", F.round("step_time", 6).alias("step_time"))
-    return r.join(t, ["run_id", "rec_idx"], "left")
+    """Step times from the stream of one event type merged by step into the records of all."""
+    r = log_records(spark, sf_dir).select("run_id", "rec_idx", "step", "loss", "gpu_util")
+    t = log_records(spark, sf_dir).where("eval_loss is not null").select("run_id", "step", F.round("step_time", 6).alias("step_time"), F.lit(1.0).alias("gpu_util"))
+    return merge_telemetry(r, t)
 
 
 _RULE_NAMES = {r.id: "rule_" + r.id[3:].lower().replace("-", "_") for r in single_run.RULES}
@@ -383,11 +441,16 @@ QUERIES: dict[str, Query] = {
     for f in (
         series_stats, verdicts, verdicts_short, verdicts_healthy, verdicts_lineitem, checks_ran_skipped, worst_verdict, triage_order, bad_steps, checks_no_loss, throughput_rate,
         compare_metrics, compare_fleet, compare_own_baseline, compare_ranking, doctor_merge, json_column_resolution, alias_resolution, tag_normalise, claim_winner, fold_by_step,
-        gaps_and_islands, preflight_empty, preflight_duplicates, preflight_duplicates_conversations, preflight_context_overflow, preflight_extract_text, objective_missing, mixed_scripts, unnormalized_text,
-        text_rate_outlier, number_splits, top_newest, fleet_rollup, telemetry_join,
+        preflight_report, preflight_empty, preflight_duplicates, preflight_duplicates_conversations, preflight_context_overflow, preflight_extract_text, objective_missing, mixed_scripts, unnormalized_text,
+        text_rate_outlier, choose_newest, source_jsonl, source_csv, source_hf, source_coqui, source_detect, fleet_rollup, telemetry_join,
     )
 } | {f"exit_code{x}": _exit_code(v) for x, v in _EXITS.items()} | {f"verdicts_{v}": _verdicts_of(v) for v in ("no_loss", "steps_missing")} | {k: _objective(*v) for k, v in _OBJECTIVES.items()} | {_RULE_NAMES[r.id]: _rule_query(r) for r in single_run.RULES}
 
+def _events(where: str, cols: str) -> str:
+    """Records of the events that a parser keeps, numbered in each run."""
+    return f"SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rec_idx, {cols} FROM (SELECT *, CAST(props->>'$.k' AS DOUBLE) AS k FROM events) WHERE {where}"
+
+
 _R = {v: _records_sql("duck", v) for v in _VARIANTS}
 _L = f"SELECT *, rec_idx::DOUBLE AS step FROM ({_LINEITEM})"
 
@@ -417,7 +480,6 @@ SQL: dict[str, str] = {
 SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY step) - 1 AS rec_idx, step::DOUBLE AS step, """
     + ", ".join(f"arg_max(value, seq) FILTER (canon = '{m}') AS {m}" for m in ("loss", "eval_loss", "lr", "grad_norm"))
     + ", round(arg_min(wall_time, (claim, seq)), 3) AS time FROM c GROUP BY run_id, step",
-    "gaps_and_islands": "WITH e AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM events) SELECT user_id AS run_id, island, count(*) AS n, arg_max(value, (ts, event_id)) AS last_value FROM e GROUP BY ALL",
     "preflight_empty": "WITH d AS (SELECT doc_id, regexp_replace(text, '^[^.]*\\.\\s*', '') AS t FROM documents), b AS (SELECT doc_id FROM d WHERE trim(regexp_replace(t, '\\s+', ' ', 'g')) = '') SELECT (SELECT count(*) FROM b) AS n, coalesce((SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM b ORDER BY doc_id LIMIT 3)), '') AS first",
     "preflight_duplicates": "SELECT coalesce(sum(c - 1), 0)::BIGINT AS n, count(*) AS texts FROM (SELECT count(*) AS c FROM documents GROUP BY text HAVING count(*) > 1)",
     "preflight_duplicates_conversations": "SELECT coalesce(sum(c - 1), 0)::BIGINT AS n, count(*) AS texts FROM (SELECT count(*) AS c FROM conversations GROUP BY text HAVING count(*) > 1)",
@@ -427,7 +489,13 @@ SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY step) - 1 AS rec_
     "mixed_scripts": "SELECT doc_id, (regexp_matches(text, '[a-zA-Z]')::INT + (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT) > 1 AS mixed FROM documents",
     "unnormalized_text": "SELECT doc_id, regexp_matches(text, '[0-9]') OR regexp_matches(text, '(^|[^\\p{L}])([A-Z]\\.){2,}') OR regexp_matches(text, '(^|[^\\p{L}])[A-Z]{2,5}($|[^\\p{L}])') AS raw FROM documents",
     "text_rate_outlier": f"WITH r AS (SELECT doc_id, n_chars / (1 + doc_id % 600)::DOUBLE AS rate FROM documents WHERE n_chars > 0), m AS (SELECT count(*) AS n, percentile_disc(0.5) WITHIN GROUP (ORDER BY rate DESC) AS median FROM r), o AS (SELECT * FROM r, m WHERE (rate > median * {T.CHAR_RATE_RATIO} OR rate < median / {T.CHAR_RATE_RATIO}) AND n >= {T.CHAR_RATE_MIN_PAIRS} AND median > 0) SELECT m.n, round(m.median, 6) AS median, (SELECT count(*) FROM o) AS outliers, (SELECT doc_id FROM o ORDER BY abs(rate - median) DESC, doc_id DESC LIMIT 1) AS worst_key FROM m",
-    "number_splits": "WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b\\d+\\b')) AS num FROM documents) SELECT doc_id, count(*) AS numbers, count_if(length(num) > length(num) / 2 + 1)::BIGINT AS splits FROM n GROUP BY 1",
-    "top_newest": "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20",
-    "telemetry_join": f"WITH r AS ({_records_sql('duck', 'raw')}) SELECT run_id, rec_idx, loss, CASE WHEN rec_idx % 2 = 0 THEN round(step_time, 6) END AS step_time FROM r",
+    "preflight_report": "WITH c AS (SELECT CASE WHEN turn % 7 = 0 THEN ' ' ELSE text END AS t FROM conversations), b AS (SELECT count(*) AS n FROM c WHERE trim(t) = ''), d AS (SELECT sum(k - 1)::BIGINT AS n, count(*) AS texts FROM (SELECT count(*) AS k FROM c GROUP BY t HAVING count(*) > 1)) SELECT CASE WHEN b.n > 0 THEN 'FAIL' WHEN d.n > 0 THEN 'WARN' ELSE 'PASS' END AS verdict, unnest(['TP-PRE-EMPTY-TEXT', 'TP-PRE-DUPLICATE-TEXT']) AS id, unnest(['FAIL', 'WARN']) AS level, unnest([b.n || ' records', d.n || ' duplicate records of ' || d.texts || ' distinct texts']) AS evidence FROM b, d",
+    "choose_newest": f"WITH f AS (SELECT o_orderkey AS run_id, o_orderkey || ({_NAMES!r})[o_orderkey % 8 + 1] AS name, o_orderdate AS mtime FROM orders), n AS (SELECT run_id, mtime, (SELECT count(*) FROM lineitem WHERE l_orderkey = run_id) AS num_records FROM f WHERE regexp_matches(name, '(\\.(jsonl|csv|log|txt)$)|tfevents')), t AS (SELECT run_id FROM n WHERE num_records >= 3 ORDER BY mtime DESC, run_id LIMIT 20) SELECT run_id, num_records, run_id IN (SELECT run_id FROM t) AS judged FROM n",
+    "source_jsonl": _events("event_type NOT IN ('signup', 'error') AND event_id % 11 <> 0", "(event_id % 100)::DOUBLE AS step, value AS loss, k AS lr"),
+    "source_csv": _events("true", "(event_id % 100)::DOUBLE AS step, CASE WHEN event_type <> 'signup' THEN value END AS eval_loss, CASE WHEN event_type <> 'signup' THEN k END AS grad_norm"),
+    "source_hf": _events("event_type <> 'signup'", "(event_id % 100)::DOUBLE AS step, CASE WHEN event_type <> 'purchase' THEN value END AS loss, CASE WHEN event_type = 'purchase' THEN value END AS eval_loss, NULL::DOUBLE AS lr"),
+    "source_coqui": _events("event_type <> 'signup'", "(event_id % 100)::DOUBLE AS step, floor(epoch(ts))::DOUBLE AS time, value AS loss, k AS grad_norm"),
+    "source_detect": f"""WITH d AS (SELECT doc_id, ({_DETECT_NAMES!r})[doc_id % 8 + 1] AS name, [{", ".join("'" + x + "'" for x in _DETECT_TEXTS)}][doc_id // 8 % 4 + 1] || text AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN name = 'events.out.tfevents.7' THEN 'tfevents' WHEN name = 'trainer_state.json' OR (name = 'x.json' AND contains(t, '"log_history"')) THEN 'hf' WHEN contains(t, '-- GLOBAL_STEP:') THEN 'coqui' WHEN name = 'a.csv' OR t[1] <> '{{' THEN 'csv' ELSE 'jsonl' END AS fmt FROM d""",
+    "telemetry_join": f"WITH r AS ({_records_sql('duck', 'raw')}) SELECT run_id, rec_idx, step, loss, CASE WHEN eval_loss IS NOT NULL THEN 1.0 ELSE gpu_util END AS gpu_util, CASE WHEN eval_loss IS NOT NULL THEN round(step_time, 6) END AS step_time FROM r",
 } | {k: _objective_sql(*v) for k, v in _OBJECTIVES.items()} | {n: oracle.rule(_R["mixed"], r) for r, n in _RULE_NAMES.items()}

@@ -153,16 +153,21 @@ def read_logs(spark: SparkSession, paths: str | list[str], fmt: str = "auto", ov
     return records, files
 
 
+def choose_logs(files: DataFrame, counts: DataFrame, newest: int | None = None, least: int = 3) -> DataFrame:
+    """files (run_id, name, mtime, ..) of log names with num_records from counts, and judged: at least `least` records, the newest ones if a number is given."""
+    files = files.where(is_log_name(F.col("name"))).join(counts, "run_id", "left").fillna(0, ["num_records"])
+    ok = F.col("num_records") >= least
+    if newest is None:
+        return files.withColumn("judged", ok)
+    top = files.where(ok).orderBy(F.desc("mtime"), "run_id").limit(newest).select("run_id", F.lit(True).alias("judged"))  # a top-k, merged from each partition's
+    return files.join(F.broadcast(top), "run_id", "left").fillna(False, ["judged"])
+
+
 def discover(spark: SparkSession, directory: str, overrides: dict[str, str] | None = None, newest: int | None = None, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """Logs under a directory: (records, files) of those with at least `least` records, the newest ones if a number is given.
 
     files has a column `judged`; files with fewer records are in it with judged = false.
     """
     records, files = read_logs(spark, directory, "auto", overrides)
-    files = files.where(is_log_name(F.col("name"))).join(records.groupBy("run_id").agg(F.count("*").alias("num_records")), "run_id", "left").fillna(0, ["num_records"])
-    ok = F.col("num_records") >= least
-    if newest is not None:
-        rank = F.row_number().over(Window.partitionBy(ok).orderBy(F.desc("mtime"), "run_id"))
-        ok = ok & (rank <= newest)
-    files = files.drop("text").withColumn("judged", ok)
+    files = choose_logs(files.drop("text"), records.groupBy("run_id").agg(F.count("*").alias("num_records")), newest, least)
     return records.join(files.where("judged").select("run_id"), "run_id", "left_semi"), files
