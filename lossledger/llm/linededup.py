@@ -34,16 +34,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return materialise(later.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", F.col("pos") + WIDTH - 1)))).alias("cut")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with a new text, and n_lines and n_removed (existing columns of these names are replaced).
-
-    Lines are split at newlines and compared without spaces at their ends; blank lines alone are no passage. Documents of fewer than three
-    lines have no window and stay as they are, as do null and empty texts. Rows with the same id and the same text are one occurrence:
-    they are cut alike, and the first of them is not a repeat of itself. Null ids come first in the order, texts of one id are ordered
-    by their hash. A document all of whose lines are repeats gets an empty text (keep_rest() drops it). Long texts are cut like
-    others. Other columns pass through unchanged, whatever their names. An empty table gives an empty result.
-    """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+def _cut(docs: DataFrame, names: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(row, text, n_lines, n_removed): each row's columns of these names, its new text, and its lines."""
     cut = repeated_lines(docs, id_col, text_col)
     key = F.xxhash64("id", "h")
     marks = F.broadcast(bits(cut.select(key.alias("k")), "k"))  # SLOTS rows at most
@@ -57,11 +49,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = F.split(text, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("cut"))  # by a hash set: linear in the lines
     kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    return every.select(
-        *[F.when(F.col("cut").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    return every.select("row", F.when(F.col("cut").isNull(), text).otherwise(kept).alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def _own(names: list[str], text_col: str) -> list:
+    return [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names]
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with a new text, and n_lines and n_removed (existing columns of these names are replaced).
+
+    Lines are split at newlines and compared without spaces at their ends; blank lines alone are no passage. Documents of fewer than three
+    lines have no window and stay as they are, as do null and empty texts. Rows with the same id and the same text are one occurrence:
+    they are cut alike, and the first of them is not a repeat of itself. Null ids come first in the order, texts of one id are ordered
+    by their hash. A document all of whose lines are repeats gets an empty text (keep_rest() drops it). Long texts are cut like
+    others. Other columns pass through unchanged, whatever their names. An empty table gives an empty result.
+    """
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _cut(docs, names, id_col, text_col).select(*_own(names, text_col), "n_lines", "n_removed")
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of docs, all of them, with the new texts of dedup_lines(), and without the documents that lost every line. Null and empty texts stay."""
+    return _cut(docs, docs.columns, id_col, text_col).where("n_removed = 0 or n_removed < n_lines").select(*_own(docs.columns, text_col))
 
 
 def keep_rest(deduped: DataFrame) -> DataFrame:

@@ -122,6 +122,17 @@ def mix(docs: DataFrame, budget: float | None = None, id_col: str = "doc_id", te
     block_rank are replaced); an empty table gives an empty result.
     """
     keep = [c for c in docs.columns if c not in ("epoch", "block_rank")]
+    out = _take(docs, keep, budget, id_col, text_col, source_col, length, min_entropy, max_repeats)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("rank").alias("block_rank"), "epoch")
+
+
+def sample(docs: DataFrame, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: Column | None = None, min_entropy: float | None = None, max_repeats: float | None = MAX_REPEATS) -> DataFrame:
+    """The rows of mix() with the columns of docs alone, all of them."""
+    return _take(docs, docs.columns, budget, id_col, text_col, source_col, length, min_entropy, max_repeats).select("row.*")
+
+
+def _take(docs: DataFrame, keep: list[str], budget: float | None, id_col: str, text_col: str, source_col: str, length: Column | None, min_entropy: float | None, max_repeats: float | None) -> DataFrame:
+    """(row, rank, epoch): the columns `keep` of each document, as often as it is taken."""
     n = F.greatest(F.coalesce((length if length is not None else n_tokens(text_col)).cast("long"), F.lit(0)), F.lit(0))
     key = [F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("s"), F.xxhash64(text_col).alias("h")]
     sized = materialise(docs.select(*key, n.alias("n")))
@@ -131,8 +142,7 @@ def mix(docs: DataFrame, budget: float | None = None, id_col: str = "doc_id", te
     ahead = (F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("b") < F.col("block")))
     partial = ahead | ((F.col("b") == F.col("block")) & (_place("i", "h") <= F.col("last")))
     copies = F.col("passes") + F.when(F.coalesce(partial, F.lit(False)), 1).otherwise(0)
-    out = every.withColumn("copies", copies).where("copies > 0").select("row", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("epoch"))
-    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("rank").alias("block_rank"), "epoch")
+    return every.withColumn("copies", copies).where("copies > 0").select("row", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("epoch"))
 
 
 def sql(entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS) -> str:

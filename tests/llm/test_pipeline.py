@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from lossledger.llm import entry, minhash, mixing, packing
-from test_corpus_operators import DDL, brute_fit, brute_lines, jaccard, shingles
+from test_corpus_operators import CLASH, DDL, brute_fit, brute_lines, jaccard, shingles
 
 
 @pytest.fixture(scope="module")
@@ -90,6 +90,23 @@ def test_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, where).count() == kept["packing"]
 
 
+def test_stages_on_edges(spark, tmp_path_factory):
+    """Empty tables, and few rows with nulls in every column and further columns of all names that the code uses."""
+    where = str(tmp_path_factory.mktemp("edges"))
+    spark.createDataFrame([(1, 1, 1), (None, 0, None), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    rows = [(1, "a b c\nd e f\ng h i", "en", "s", 17), (2, "a b c\nd e f\ng h i\nmore", None, None, None), (3, None, None, None, None), (None, "", "en", "s", 0), (4, "x y z", "en", "t", 5), (4, "x y z", "en", "t", 5)]
+    some = spark.createDataFrame(rows, DDL).selectExpr("*", *[f"'{c}' as `{c}`" for c in CLASH])
+    for docs in (some, some.limit(0)):
+        n = docs.count()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, where)
+            assert out.columns == (docs.columns if k < 4 else ["doc_id", "piece", "start", "length", "bin", "bin_offset"])
+            path = f"{where}/{n}-{k}"
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert {r.doc_id for r in docs.collect()} == ({1, 2, 3, 4, None} if n else set())  # none is lost; the mixture repeats some
+
+
 def pieces(n):
     return [packing.CAPACITY] * (n // packing.CAPACITY) + [n % packing.CAPACITY] * bool(n % packing.CAPACITY)
 
