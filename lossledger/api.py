@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import thresholds as T
 from .operators import compare as C
+from .operators import objective
 from .operators.rollup import severity
 from .operators.single_run import check_records, check_runs
 from .report.envelope import to_dicts
@@ -81,7 +83,7 @@ def records_of(spark: SparkSession, history: Iterable[dict[str, Any]], run_id: s
 
 
 class LiveJudge:
-    """For a trainer's callback: call on_log() at every log event; it judges every `check_every` steps once there are enough records."""
+    """For a trainer's callback: call begin() before training and on_log() at every log event; it judges every `check_every` steps once there are enough records."""
 
     def __init__(self, spark: SparkSession, check_every: int = T.CALLBACK_CHECK_EVERY, min_points: int = T.CALLBACK_MIN_POINTS, stop_on_fail: bool = False) -> None:
         self.spark, self.check_every, self.min_points, self.stop_on_fail = spark, check_every, min_points, stop_on_fail
@@ -91,6 +93,34 @@ class LiveJudge:
         self._checked: int | None = None
         self._last: tuple[int, float] | None = None
 
+    def begin(self, model: Any, batches: Iterable[Any] | None = None, num_classes: int | None = None, ignore_index: int | None = None) -> list[dict[str, str]]:
+        """Findings on the objective before the first step: the width of the output layer against the ignored index and the labels of the first batches.
+
+        A failure sets announced, and should_stop where failures stop. What can't be told is in `skipped`, with the reason. Give a fresh iterable: batches
+        are taken from it.
+        """
+        n, ignored = objective.infer_objective(model)
+        n, ignored = n if num_classes is None else num_classes, ignored if ignore_index is None else ignore_index
+        self.skipped: list[str] = []
+        if not n:
+            self.skipped.append("objective: the width of the output layer is not known")
+            return []
+        found = objective.check_ignore_index(n, ignored)
+        if batches is not None:
+            seen = objective.TargetCoverage(n, ignored)
+            try:
+                for batch in islice(batches, T.CALLBACK_TARGET_BATCHES):
+                    targets = objective.labels_of(batch)
+                    if targets is not None:
+                        seen.observe(targets)
+            except Exception as e:  # a loader of any kind: what it raises says why nothing is known
+                self.skipped.append(f"objective coverage: the batches can't be read ({type(e).__name__}: {e})")
+            else:
+                found += seen.result() if seen.n_targets else []
+        if any(f["level"] == "FAIL" for f in found):
+            self.announced, self.should_stop = True, self.stop_on_fail
+        return found
+
     def on_log(self, history: list[dict], step: int, now: float | None = None) -> dict | None:
         """The report, if this call judged."""
         if now is not None:

@@ -223,3 +223,59 @@ def test_gallery(spark):
     assert got == COMPARED
     cross = C.compare(m.where("run_id like '%/healthy/seed%'").drop("seed"), base.drop("seed"))
     assert {r.verdict for r in cross.collect()} == {"PASS"}
+
+
+def test_objective_before_training(spark):
+    from types import SimpleNamespace
+
+    model = lambda n, ignore=None: SimpleNamespace(config=SimpleNamespace(vocab_size=n, ignore_index=ignore))
+    batches = lambda *ls: ({"labels": x} for x in ls)
+    judge = api.LiveJudge(spark, stop_on_fail=True)
+    assert [f["id"] for f in judge.begin(model(3), batches([0, 1, 2], [[2, -100]]))] == ["TP-OBJ-DEAD-CLASS-OK"] and not judge.should_stop
+    assert "TP-OBJ-IGNORE-INDEX-COLLISION" in [f["id"] for f in judge.begin(model(3, 2))] and judge.should_stop and judge.announced
+    warn = api.LiveJudge(spark)
+    assert "TP-OBJ-TARGET-OUT-OF-RANGE" in [f["id"] for f in warn.begin(model(3), batches([0, 1, 7]))] and warn.announced and not warn.should_stop
+    assert warn.begin(SimpleNamespace()) == [] and "width" in warn.skipped[0]
+    assert warn.begin(model(3), iter([{"labels": ["x"]}])) == [] and "can't be read" in warn.skipped[0]
+    many = iter([{"labels": [0]}] * 31 + [{"labels": [1]}] + [{"labels": [9]}] * 5)
+    assert "TP-OBJ-TARGET-OUT-OF-RANGE" not in [f["id"] for f in warn.begin(model(2), many)] and len(list(many)) == 5
+
+
+def test_dense_index_and_choice_of_logs(spark):
+    from lossledger.operators.preflight import dense_index
+    from lossledger.sources.logs import choose_logs
+
+    df = spark.range(0, 100, 1, 7).select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("x"))
+    assert all(r.idx == r.x for r in dense_index(df).collect())
+    files = spark.createDataFrame([(k, n, k) for k, n in enumerate(["a.jsonl", "b.py", "c.csv", "d.log", "trainer_state.json"])], "run_id long, name string, mtime long")
+    counts = spark.createDataFrame([(0, 5), (1, 5), (2, 2), (4, 3)], "run_id long, num_records long")
+    assert {r.run_id: r.judged for r in choose_logs(files, counts).collect()} == {0: True, 2: False, 3: False, 4: True}
+    assert {r.run_id: r.judged for r in choose_logs(files, counts, newest=1).collect()} == {0: False, 2: False, 3: False, 4: True}
+
+
+def test_dataset_lines_in_many_blocks(spark, tmp_path):
+    """Line numbers and indices over files of several blocks each."""
+    from lossledger.sources.datasets import read_jsonl
+
+    want, n = [], 0
+    for name in "ab":
+        lines = [("" if k % 13 == 5 else "{broken" if k % 7 == 3 else f'{{"text": "{name} {k}"}}') for k in range(400)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+        for k, line in enumerate(lines):
+            if line:
+                bad = line.startswith("{b")
+                want.append((k + 1, None if bad else n, bad, None if bad else f"{name} {k}"))
+                n += not bad
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        got = [(r.line_no, r.idx, r.malformed, (r.fields or {}).get("text")) for r in read_jsonl(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_one_baseline(reports):
+    m = C.metrics(reports)
+    with pytest.raises(ValueError, match="more than one baseline"):
+        C.compare(m, m)
