@@ -42,7 +42,7 @@ def triage(reports: DataFrame, order: str = "run_id") -> DataFrame:
 
 def place(verdict: Column, *order: str) -> Column:
     """Each report's place in that order, from 0. One task ranks all: for the reports of a triage list, a row for each run."""
-    return F.row_number().over(Window.orderBy(severity(verdict), *order)) - 1
+    return F.row_number().over(Window.orderBy(severity(verdict), *order)).cast("long") - 1
 
 
 def fleet_summary(reports: DataFrame, *dims: str) -> DataFrame:
