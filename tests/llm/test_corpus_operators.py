@@ -305,6 +305,50 @@ def test_graph_and_walk(spark):
     assert {r.h: r.value for r in toxicity.polarity(nodes, edges).collect()} == pytest.approx({h[w]: value[w] for w in at}, abs=2e-6)
 
 
+def test_walks_go_over_the_graph_of_all_words(spark):
+    """Every significant pair is an edge, however far from the toxic seeds: polarities against dense matrices, for words numbered and in rows."""
+    out, labels = toxic_corpus(random.Random(4), 240)
+    out = [(i, t + (" vile" + " hint" * (i % 2) + " far" * (i % 4 == 2) if y else "")) for (i, t), (_, y) in zip(out, labels)] + [(1000 + i, "hint far") for i in range(30)]
+    label = dict(labels)
+    df = spark.createDataFrame([(i, t, label.get(i)) for i, t in out], "doc_id long, text string, label int").repartition(3)
+    vocab, total = toxicity.vocabulary(df)
+    rows = sorted(vocab.collect(), key=lambda r: r.word)
+    at = {r.word: k for k, r in enumerate(rows)}
+    n = np.array([r.n for r in rows])
+    c = np.zeros((len(at), len(at)))
+    for _, t in out:
+        ws = [at[w] for w in words(t)]
+        for d in (1, 2, 3):
+            for x, y in zip(ws, ws[d:]):
+                if x != y:
+                    c[x, y] += 1
+                    c[y, x] += 1
+    e = 2 * 3 * np.outer(n, n) / total
+    w = np.log(np.maximum(c, 1e-9) / e)
+    a = np.where((c > 0) & (w > 0) & (2 * (c * w - (c - e)) >= 3.84), w, 0)
+    start = np.array([[float(r.seed_t) for r in rows], [float(r.seed_c) for r in rows]])
+    beyond = (start[0] == 0) & (a[start[0] > 0].sum(axis=0) == 0)
+    assert a[beyond][:, beyond].any()  # edges that the toxic seeds' neighbours don't have
+    start /= np.maximum(start.sum(axis=1, keepdims=True), 1)
+    p = start
+    for _ in range(toxicity.STEPS):
+        p = 0.5 * start + 0.5 * (p / np.maximum(a.sum(axis=0), 1e-300)) @ a
+    value = (p[0] - p[1]) / (p[0] + p[1] + 1 / len(at))
+    h = signed(_text.word_hash([r.word for r in rows]))
+    for most in (toxicity.NUMBERED, 0):
+        got = {r.h: r.value for r in toxicity.polarities(df, vocab, total, 3, 3.84, -2.0, most).collect()}
+        assert got == pytest.approx(dict(zip(h, value.tolist())), abs=2e-6)
+    graph = toxicity.Graph(df, vocab, total, 3, 3.84)
+    assert graph.times(None)[0] == pytest.approx(a.sum(axis=0)[[h.index(x) for x in signed(graph.hash)]])
+
+
+def test_word_two_links_from_the_seeds_is_found(spark):
+    """A word that is never beside a toxic seed, but beside words that are, is in the lexicon."""
+    docs = spark.range(600).selectExpr("id as doc_id", "concat('w', id % 50, ' w', id * 7 % 53, case when id < 60 then ' gronk' when id < 120 then ' gronk snarl' when id < 180 then ' snarl blurk' else '' end, ' w', id % 31, ' w', id % 43, ' w', id % 29) as text")
+    lab = spark.range(300).selectExpr("id as doc_id", "if(id < 60, 1, 0) as toxic").where("doc_id < 60 or doc_id >= 180")
+    assert {"gronk", "snarl", "blurk"} <= set(toxicity.induce(docs, lab).word)
+
+
 def test_corpus_ten_times_over_has_the_same_lexicon(spark):
     """No word is cut by a share of the corpus: clean documents besides, in any number, leave the lexicon's seeds as they are."""
     out, labels = toxic_corpus(random.Random(3), 300)
