@@ -114,3 +114,11 @@ def pieces(n):
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in entry.QUERIES) == list(range(1, 11)) and set(entry.SQL) <= set(entry.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near duplicates", "mixing", "packing"]
+
+
+def test_toxicity_stage_drops_documents_two_links_from_the_seeds(spark, tmp_path):
+    """Documents whose only lexicon word is never beside a toxic seed."""
+    rare = "case when id < 60 then ' gronk gronk' when id < 120 then ' gronk snarl' when id < 180 then ' snarl blurk' when id < 200 then ' blurk blurk blurk' else '' end"
+    docs = spark.range(600).selectExpr("id as doc_id", f"concat('w', id % 50, ' w', id * 7 % 53, {rare}, ' w', id % 31, ' w', id % 43, ' w', id % 29) as text")
+    spark.range(300).selectExpr("id as doc_id", "if(id < 60, 1, 0) as toxic").where("doc_id < 60 or doc_id >= 200").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()} == set(range(200, 600))
