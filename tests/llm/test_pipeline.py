@@ -4,11 +4,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from lossledger.llm import entry, minhash, mixing, packing
-from test_corpus_operators import CLASH, DDL, brute_fit, brute_lines, jaccard, shingles
+from lossledger.llm import _text, entry, minhash, mixing, packing, toxicity
+from lossledger.llm._blob import unpack, unpack_sorted
+from test_corpus_operators import CLASH, DDL, brute_fit, brute_lines, jaccard, shingles, signed, words
 
 
 @pytest.fixture(scope="module")
@@ -122,3 +124,48 @@ def test_toxicity_stage_drops_documents_two_links_from_the_seeds(spark, tmp_path
     docs = spark.range(600).selectExpr("id as doc_id", f"concat('w', id % 50, ' w', id * 7 % 53, {rare}, ' w', id % 31, ' w', id % 43, ' w', id % 29) as text")
     spark.range(300).selectExpr("id as doc_id", "if(id < 60, 1, 0) as toxic").where("doc_id < 60 or doc_id >= 200").write.parquet(f"{tmp_path}/labels.parquet")
     assert {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()} == set(range(200, 600))
+
+
+def test_toxicity_stage_walks_every_significant_pair(spark, sf_dir, monkeypatch):
+    """The edges that the stage walks against all pairs of the corpus, for words numbered and in rows; word_graph(), a part of them, isn't called."""
+    where, rows, _ = sf_dir
+    n, c = Counter(), Counter()
+    for _, t, *_ in rows:
+        ws = words(t)
+        n.update(ws)
+        c.update(frozenset((x, y)) for d in range(1, toxicity.WINDOW + 1) for x, y in zip(ws, ws[d:]) if x != y)
+    want = {}
+    for (x, y), k in ((tuple(p), k) for p, k in c.items()):
+        e = 2 * toxicity.WINDOW * n[x] * n[y] / sum(n.values())
+        if k > e and 2 * (k * math.log(k / e) - (k - e)) >= toxicity.MIN_G2:
+            want[x, y] = want[y, x] = math.log(k / e)
+    name = dict(zip(signed(_text.word_hash(list(n))), n))
+    bad = {"vile", "scumbag", "wretch", "vermin"}
+    near = bad | {y for x, y in want if x in bad}
+    assert sum(x not in near and y not in near for x, y in want) > 100
+    got = []
+
+    def numbered(graph):
+        for k, keys, count in graph.edges.collect():
+            key = unpack_sorted(keys)
+            x, y = (key >> np.uint64(32)).astype(np.int64) * graph.bins + k, (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            w, _ = toxicity._association(unpack(count).astype(np.int64), graph.count[x], graph.count[y], graph.total, graph.window)
+            got.extend(zip(signed(graph.hash[x]), signed(graph.hash[y]), w.tolist()))
+        return walk(graph)
+
+    def in_rows(half):
+        edges = both(half)
+        got.extend(map(tuple, edges.select("i", "j", "w").collect()))
+        return edges
+
+    walk, both = toxicity.Graph.polarity, toxicity.both_ways
+    monkeypatch.setattr(toxicity, "word_graph", None)
+    monkeypatch.setattr(toxicity.Graph, "polarity", numbered)
+    monkeypatch.setattr(toxicity, "both_ways", in_rows)
+    docs, labels = (spark.read.parquet(f"{where}/{t}.parquet") for t in ("documents", "labels"))
+    left = []
+    for stage in (lambda: corpus_pipeline.drop_toxic(spark, docs, where), lambda: toxicity.drop_toxic(docs, labels, most=0)):
+        got.clear()
+        left.append(Counter((r.doc_id, r.text) for r in stage().collect()))
+        assert len(got) == len(want) and {(name[i], name[j]): w for i, j, w in got} == pytest.approx(want)
+    assert left[0] == left[1] and left[0].total() < len(rows)
