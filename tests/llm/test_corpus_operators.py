@@ -327,6 +327,35 @@ print(after - resident())
     assert float(out.stdout) < 25
 
 
+def test_toxicity_workers_stay_small():
+    """MB that workers take at most, beside their texts, while they count words, count pairs and score; two of each wait beside an executor whose heap is full."""
+    code = """
+import sys
+import numpy as np, pyarrow as pa
+from lossledger.llm import _text, toxicity
+def status(name):
+    return next(int(x.split()[1]) / 1024 for x in open("/proc/self/status") if x.startswith(name))
+class Sent:
+    pass
+words = [f"w{x}" for x in range(400_000)]
+h = np.sort(_text.word_hash(words))
+Sent.value = toxicity.Lexicon(words[:1000], h[::400], np.ones(1000), 0.2, 0.1, 0.5) if sys.argv[1] == "score" else toxicity.Numbering(h, np.arange(len(h)).astype(np.uint32), 64, -(-len(h) // 64))
+rng = np.random.default_rng(0)
+texts = pa.array([" ".join(words[x] for x in rng.integers(0, 400_000, 200)) for _ in range(20_000)])
+run = {"count": toxicity._stats, "pairs": toxicity._all_pairs(Sent, 3), "score": toxicity._score(Sent, "text", True)}[sys.argv[1]]
+batch = lambda t: iter([pa.RecordBatch.from_arrays([t, pa.nulls(len(t), pa.int32())], ["text", "label"])])
+list(run(batch(texts.slice(0, 100))))
+toxicity.trim()
+open("/proc/self/clear_refs", "w").write("5")  # the peak begins anew
+before = status("VmRSS")
+for out in run(batch(texts)):
+    del out
+print(status("VmHWM") - before)
+"""
+    peak = {k: float(subprocess.run([sys.executable, "-c", code, k], capture_output=True, text=True, check=True, cwd=pathlib.Path(toxicity.__file__).parents[2]).stdout) for k in ("count", "pairs", "score")}
+    assert peak["count"] < 175 and peak["pairs"] < 95 and peak["score"] < 32, peak
+
+
 def test_walks_go_over_the_graph_of_all_words(spark):
     """Every significant pair is an edge, however far from the toxic seeds: polarities against dense matrices, for words numbered and in rows."""
     out, labels = toxic_corpus(random.Random(4), 240)
