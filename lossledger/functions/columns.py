@@ -12,6 +12,8 @@ FLOAT_RE = r"^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)
 ANSI_RE = r"\x1B(\[[\x30-\x3F]*[\x20-\x2F]*[\x40-\x7E]|[\x40-\x5A\x5C-\x5F])"
 #: Where str.splitlines() breaks.
 LINE_RE = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: Breaks other than \n.
+OTHER_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def canonical(name: Column, overrides: dict[str, str] | None = None) -> Column:

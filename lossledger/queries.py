@@ -367,8 +367,8 @@ _NAMES = [".jsonl", ".csv", ".log", ".txt", ".py", "tfevents.1", ".md", "-state.
 def _files(spark: SparkSession, sf_dir: str, line: Column, name: str, head: str = "", foot: str = "") -> DataFrame:
     """A text of one line for each event of a user, as a file."""
     e = _table(spark, sf_dir, "events").withColumn("k", F.expr("get_json_object(props, '$.k')"))
-    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line")))).alias("l"))
-    text = F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["line"]), ",\n" if name.endswith(".json") else "\n"), F.lit(foot))
+    rows = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", line.alias("line")))).alias("l"))
+    text = F.concat(F.lit(head), F.array_join("l.line", ",\n" if name.endswith(".json") else "\n"), F.lit(foot))
     files = rows.select(F.col("user_id").alias("run_id"), F.lit(name).alias("name"), text.alias("text"))
     return files.withColumn("fmt", logs.detect_format(F.col("name"), F.col("text")))
 

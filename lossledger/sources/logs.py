@@ -1,16 +1,20 @@
 """Training logs of any text format, any number of files in one job, as canonical records.
 
 Files are read whole (a log is small beside a split; the order of its lines matters), each row is a file until its lines are exploded, and
-formats are told apart by name and content. Nothing is shuffled but the sections of console logs.
+formats are told apart by name and content. Nothing is shuffled but the records, which are numbered in their file.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import ANSI_RE, LINE_RE, as_float, canonical
+from ..functions.columns import ANSI_RE, LINE_RE, OTHER_BREAKS, as_float, canonical
 from ..schema import METRICS, RUN_META
 
 FORMATS = ("auto", "hf", "coqui", "csv", "jsonl", "tfevents")
@@ -55,28 +59,33 @@ def _plain_json(text: Column) -> Column:
     return text
 
 
-def _entries(pairs: Column, overrides: dict[str, str] | None) -> Column:
-    """Array of (key, value) texts -> array of (canon, value, column), only what resolves and converts, in order."""
-    made = F.transform(pairs, lambda e: F.struct(canonical(F.trim(e["key"]), overrides).alias("canon"), as_float(F.regexp_replace(e["value"], '^"|"$', "")).alias("v"), F.trim(e["key"]).alias("col")))
-    return F.filter(made, lambda e: e["canon"].isNotNull() & e["v"].isNotNull())
+#: A number, quoted or not, that needs no more than its quotes taken off.
+_SIMPLE_RE = r'^"?[+-]?\d+(\.\d+)?"?\z'
 
 
-def _record(df: DataFrame, keep: Column | None = None) -> DataFrame:
-    """run_id, pos, entries -> a column for each metric (the last entry wins) and rec_idx, dense in order of pos."""
-    last = lambda m: F.try_element_at(F.filter("entries", lambda e: e["canon"] == m), F.lit(-1))["v"].alias(m)
-    cols = [last(m) for m in METRICS]
-    out = df.select("run_id", "pos", "entries", *cols).where((F.size("entries") > 0) if keep is None else keep)
-    rank = F.row_number().over(Window.partitionBy("run_id").orderBy("pos")) - 1
-    return out.select("run_id", rank.cast("long").alias("rec_idx"), *METRICS, F.transform("entries", lambda e: F.struct(e["canon"].alias("canon"), e["col"].alias("col"))).alias("cols"))
+def _number(x: Column, bare: Callable[[Column], Column] = lambda x: x) -> Column:
+    """float() of a text without its quotes (as `bare` leaves them); most numbers take one look."""
+    return F.when(x.rlike(_SIMPLE_RE), F.replace(x, F.lit('"'), F.lit("")).try_cast("double")).otherwise(as_float(F.regexp_replace(bare(x), '^"|"$', "")))
 
 
+def _entry(key: Column, v: Column, overrides: dict[str, str] | None) -> Column:
+    """(canon, v, col) of a key and a number, null where the key doesn't resolve; the number isn't looked at then."""
+    canon = canonical(key, overrides)
+    return F.when(canon.isNotNull(), F.struct(canon.alias("canon"), v.alias("v"), key.alias("col")))
 
 
-def parse_hf(files: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
-    """Trainer-state JSON: log_history without the closing summary; entries need a loss or an eval loss."""
-    history = F.from_json(_plain_json(F.col("text")), "log_history array<map<string,string>>")["log_history"]
-    rows = files.select("run_id", F.posexplode(history).alias("pos", "m")).where(F.col("m").isNotNull() & ~F.map_contains_key("m", "train_runtime"))
-    return _record(rows.select("run_id", "pos", _entries(F.map_entries("m"), overrides).alias("entries")), F.col("loss").isNotNull() | F.col("eval_loss").isNotNull())
+def _entries(pairs: Column, overrides: dict[str, str] | None) -> Column:
+    """Array of (key, value) texts -> array of (canon, v, col), only what resolves and converts, in order."""
+    return _converted(F.transform(pairs, lambda e: _entry(F.trim(e["key"]), _number(e["value"]), overrides)))
+
+
+def _converted(entries: Column) -> Column:
+    return F.filter(entries, lambda e: e["v"].isNotNull())
+
+
+def _hf(m: Column, overrides: dict[str, str] | None) -> Column:
+    """An entry of a trainer state's log_history; the closing summary is none."""
+    return F.when(~F.map_contains_key(m, "train_runtime"), _entries(F.map_entries(m), overrides))
 
 
 def run_meta(files: DataFrame) -> DataFrame:
@@ -85,48 +94,78 @@ def run_meta(files: DataFrame) -> DataFrame:
     return files.where("fmt = 'hf'").select("run_id", F.from_json("text", ddl).alias("run_meta"))
 
 
-def parse_jsonl(files: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
+def _jsonl(line: Column, overrides: dict[str, str] | None) -> Column:
     """JSON objects, one a line; lines that aren't objects are skipped."""
-    lines = files.select("run_id", F.posexplode(F.split("text", LINE_RE)).alias("pos", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where(F.col("line").rlike(r"(?s)^\{.*\}$"))
-    return _record(lines.select("run_id", "pos", _entries(F.map_entries(F.from_json(_plain_json(F.col("line")), "map<string,string>")), overrides).alias("entries")).where("entries is not null"))
+    return F.when(line.rlike(r"(?s)^\{.*\}$"), _entries(F.map_entries(F.from_json(_plain_json(line), "map<string,string>")), overrides))
+
 
+def _cells(line: Column) -> Column:
+    return F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
 
-def parse_csv(files: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
+
+def _bare_cell(x: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(x, r'^\s*"|"\s*$', ""), '""', '"')
+
+
+def _csv_head(line: Column, overrides: dict[str, str] | None) -> Column:
+    """Array of (canon, col), one for each column."""
+    return F.transform(F.transform(_cells(line), lambda x: F.trim(_bare_cell(x))), lambda x: F.struct(canonical(x, overrides).alias("canon"), x.alias("col")))
+
+
+def _csv(head: Column, line: Column) -> Column:
     """Comma-separated with a header; short rows miss values, surplus values are ignored."""
-    cells = lambda line: F.transform(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.regexp_replace(F.regexp_replace(x, r'^\s*"|"\s*$', ""), '""', '"'))
-    lines = files.select("run_id", F.filter(F.split("text", LINE_RE), lambda x: x != "").alias("lines")).where(F.size("lines") > 1)
-    rows = lines.select("run_id", cells(F.element_at("lines", 1)).alias("head"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("pos", "line"))
-    pairs = F.transform(F.arrays_zip(F.col("head").alias("key"), cells(F.col("line")).alias("value")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    return _record(rows.select("run_id", "pos", _entries(F.filter(pairs, lambda e: e["key"].isNotNull()), overrides).alias("entries")))
+    entry = lambda h, x: F.when(h["canon"].isNotNull(), F.struct(h["canon"].alias("canon"), _number(x, _bare_cell).alias("v"), h["col"].alias("col")))
+    return _converted(F.zip_with(head, _cells(line), entry))
 
 
-def parse_coqui(files: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
-    """Console logs: a header line with time and step opens a record, lines `| > key: value` fill it."""
-    lines = files.select("run_id", F.posexplode(F.split(F.regexp_replace("text", ANSI_RE, ""), LINE_RE)).alias("pos", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
-    head = F.col("line").startswith("--> TIME:") & F.col("line").contains("-- GLOBAL_STEP:")
-    island = F.sum(head.cast("int")).over(Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stamp = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(F.regexp_extract("line", r"TIME:\s*(\d[\d-]*\s+\d[\d:]*)", 1), r"\s", " "), F.lit("yyyy-MM-dd HH:mm:ss"))).cast("string")
-    rest = F.split(F.substring("line", 5, 1_000_000), ":")
-    value = F.try_element_at(F.split(F.regexp_replace(F.try_element_at(rest, F.lit(2)), r"^\s+", ""), r"\s+"), F.lit(1))
-    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
-    pairs = F.when(head, F.array(pair(F.lit("time"), stamp), pair(F.lit("step"), F.nullif(F.regexp_extract("line", r"GLOBAL_STEP:\s*(\d+)", 1), F.lit("")))))
-    pairs = pairs.when(F.col("line").startswith("| > "), F.array(pair(F.trim(F.try_element_at(rest, F.lit(1))), value)))
-    rows = lines.select("run_id", "pos", island.alias("island"), pairs.alias("pairs")).where("pairs is not null").select("run_id", "pos", "island", _entries(F.col("pairs"), overrides).alias("entries"))
-    parts = rows.groupBy("run_id", "island").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entries"))), lambda x: x["entries"])).alias("entries"))
-    return _record(parts.withColumnRenamed("island", "pos"), F.col("loss").isNotNull() | F.col("eval_loss").isNotNull())
+def _sections(text: Column) -> Column:
+    """Console text before the first header and from each header to the next; a header is a line with time and step."""
+    return F.split(F.concat(F.lit("\n"), text), r"(?d)\n(?=[ \t]*--> TIME:.*-- GLOBAL_STEP:)")
 
 
-PARSERS = {"hf": parse_hf, "jsonl": parse_jsonl, "csv": parse_csv, "coqui": parse_coqui}
+def _coqui(header: Column, section: Column, overrides: dict[str, str] | None) -> Column:
+    """A record of a console log: its header has time and step, lines `| > key: value` the rest."""
+    stamp = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(F.regexp_extract(header, r"TIME:\s*(\d[\d-]*\s+\d[\d:]*)", 1), r"\s", " "), F.lit("yyyy-MM-dd HH:mm:ss"))).cast("double")
+    step = F.regexp_extract(header, r"GLOBAL_STEP:\s*(\d+)", 1).try_cast("double")
+    fields = F.regexp_extract_all(section, F.lit(r"(?dm)^[ \t]*\| > (.*)"), F.lit(1))
+    pairs = F.transform(fields, lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), F.regexp_extract(x, r"^[^:]*:\s*([^:\s]*)", 1).alias("value")))
+    return F.concat(_converted(F.array(_entry(F.lit("time"), stamp, overrides), _entry(F.lit("step"), step, overrides))), _entries(pairs, overrides))
 
 
 def parse_text(files: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
-    """Records of text logs of all formats: run_id, rec_idx, the metrics, and cols (which column gave which metric)."""
-    out = None
-    for name, parse in PARSERS.items():
-        part = parse(files.where(F.col("fmt") == name), overrides)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Records of text logs of all formats: run_id, rec_idx, the metrics, and cols (which column gave which metric).
+
+    One pass for all formats: a file is read and told apart once, and its lines (sections, entries of a history) are rows from there on. What is
+    used more than once is a column of its own, so that it's evaluated once. Rows without a record leave after they are numbered: a filter
+    before would be pushed below and evaluate the entries again.
+    """
+    of = lambda name: F.col("fmt") == name
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    clean = F.when(of("coqui"), F.regexp_replace("text", ANSI_RE, "")).otherwise(F.col("text"))
+    read = files.select("run_id", "fmt", "text", clean.alias("clean"))
+    rare = reduce(or_, [F.col("clean").contains(c) for c in OTHER_BREAKS])  # much cheaper than to look for all breaks by pattern
+    lined = F.when(rare, F.regexp_replace("clean", LINE_RE, "\n")).otherwise(F.col("clean"))
+    read = read.select("run_id", "fmt", "text", lined.alias("lined"))
+    texts = F.when(of("csv"), F.array_remove(F.split("lined", "\n"), "")).when(of("jsonl"), F.split("lined", "\n")).when(of("coqui"), _sections(F.col("lined"))).otherwise(none("string"))
+    history = F.from_json(_plain_json(F.col("text")), "log_history array<map<string,string>>")["log_history"]
+    maps = F.when(of("hf"), history).otherwise(none("map<string,string>"))
+    split = read.select("run_id", "fmt", texts.alias("texts"), maps.alias("maps"))
+    rest = F.when(of("csv"), F.slice("texts", F.lit(2), F.size("texts"))).otherwise(F.col("texts"))
+    head = F.when(of("csv"), _csv_head(F.get("texts", F.lit(0)), overrides))
+    items = split.select("run_id", "fmt", head.alias("head"), F.arrays_zip(rest.alias("text"), F.col("maps").alias("m")).alias("items"))
+    rows = items.select("run_id", "fmt", "head", F.posexplode_outer("items").alias("pos", "item"))  # outer, or a filter on the size is inferred and splits the text again
+    text = F.when(of("jsonl"), F.regexp_replace("item.text", r"^\s+|\s+$", "")).otherwise(F.col("item.text"))
+    header = F.when(of("coqui"), F.regexp_extract("item.text", r"(?d)^[ \t]*(--> TIME:.*-- GLOBAL_STEP:.*)", 1))
+    rows = rows.select("run_id", "fmt", "head", "pos", text.alias("text"), "item.m", header.alias("header"))
+    t, m = F.col("text"), F.col("m")
+    entries = F.when(of("csv"), _csv(F.col("head"), t)).when(of("jsonl"), _jsonl(t, overrides)).when(of("coqui"), _coqui(F.col("header"), t, overrides)).when(of("hf"), _hf(m, overrides))
+    last = lambda name: F.try_element_at(F.filter("entries", lambda e: e["canon"] == name), F.lit(-1))["v"].alias(name)
+    made = rows.select("run_id", "fmt", "pos", entries.alias("entries")).select("run_id", "fmt", "pos", "entries", *[last(name) for name in METRICS])
+    keep = F.when(of("hf") | of("coqui"), F.col("loss").isNotNull() | F.col("eval_loss").isNotNull()).otherwise(F.size("entries") > 0)
+    cols = F.transform("entries", lambda e: F.struct(e["canon"].alias("canon"), e["col"].alias("col"))).alias("cols")
+    upto = Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = made.select("run_id", "pos", F.coalesce(keep, F.lit(False)).alias("keep"), *METRICS, cols).withColumn("rank", F.count_if("keep").over(upto))
+    return ranked.where("keep").select("run_id", (F.col("rank") - 1).alias("rec_idx"), *METRICS, "cols")
 
 
 def used_mapping(records: DataFrame) -> DataFrame:

@@ -88,6 +88,27 @@ def test_formats(spark, tmp_path):
         logs.read_logs(spark, str(tmp_path), "xml")
 
 
+def test_text_of_a_log_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(t):
+        made.add(1)
+        return t
+
+    rows = [(f"{i}{name}", name, t) for i in range(3) for name, t in (("a.csv", "step,loss\n1,2\n"), ("a.jsonl", '{"loss": 1}\n'), ("trainer_state.json", HF), ("a.log", COQUI))]
+    files = spark.createDataFrame(rows, "run_id string, name string, raw string").select("run_id", "name", F.udf(text, "string")("raw").alias("text"))
+    files = files.withColumn("fmt", logs.detect_format(F.col("name"), F.col("text")))
+    assert len(logs.parse_text(files).select("run_id", "rec_idx", "step", "loss").collect()) == 3 * (1 + 1 + 3 + 2)
+    assert made.value == len(rows)
+
+
+def test_csv_cells(spark):
+    text = 'Step,"loss", lr ,x,loss,grad_norm\r\n1,"2.5",.5,"a, b"\x0b\n2,1e1,"1_0",,"+7"\x852, n/a ,-inf,"q""q",8,9,10\u20283,"4\n4,,,,bad,nan'
+    files = spark.createDataFrame([("a", "csv", text), ("head only", "csv", "loss\n"), ("none", "csv", ""), ("null", "csv", None)], "run_id string, fmt string, text string")
+    want = [("a", 0, 1.0, 2.5, 0.5, None), ("a", 1, 2.0, 7.0, 10.0, None), ("a", 2, 2.0, 8.0, float("-inf"), 9.0), ("a", 3, 4.0, None, None, float("nan"))]  # a lone quote is no number
+    assert repr(got(logs.parse_text(files), "run_id", "rec_idx", "step", "loss", "lr", "grad_norm")) == repr(want)
+
+
 # ---- event files: a small encoder
 
 
