@@ -109,6 +109,18 @@ def test_csv_cells(spark):
     assert repr(got(logs.parse_text(files), "run_id", "rec_idx", "step", "loss", "lr", "grad_norm")) == repr(want)
 
 
+def test_console_records_are_cut_out_of_the_text(spark):
+    head = lambda minute, rest: f"\x1b[1m  --> TIME: 2024-01-02 03:0{minute}:05 -- STEP: 1/9{rest}\x1b[0m"
+    text = "\r\n".join(["| > loss: 9", head(4, " -- GLOBAL_STEP: 25 GLOBAL_STEP: 7"), '\t| > loss: "4.5" (1)', " | > lr : 1_0", "| > grad_norm 3", "| >  ", head(5, ""), "| > step: 3:4", "x | > lr: 8"])
+    text += "\x85" + head(6, " -- GLOBAL_STEP: 50") + "\u2028| > lr: 1\x0b" + head(7, " -- GLOBAL_STEP: ") + "\x1c | > Val_Loss:   inf  | > lr: 2"
+    files = spark.createDataFrame([("a", "coqui", text), ("first", "coqui", head(1, " -- GLOBAL_STEP: 1") + "\n| > loss: 2"), ("none", "coqui", "")], "run_id string, fmt string, text string")
+    records = logs.parse_text(files)
+    want = [("a", 0, None, None, 9.0, None, None), ("a", 1, 3.0, 1704164645.0, 4.5, None, 10.0), ("a", 2, None, 1704164825.0, None, float("inf"), None), ("first", 0, 1.0, 1704164465.0, 2.0, None, None)]
+    assert got(records, "run_id", "rec_idx", "step", "time", "loss", "eval_loss", "lr") == want
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "Aggregate" not in plan  # numbered once; no lines are put together again
+
+
 # ---- event files: a small encoder
 
 
